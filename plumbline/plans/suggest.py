@@ -19,10 +19,11 @@ _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 _DISCRETE = ("tinyint", "smallint", "int", "bigint", "string")
 
 
-def column_profile(tables: Mapping[str, DataFrame], precision: float = 0.01) -> DataFrame:
+def column_profile(tables: Mapping[str, DataFrame], sketch_size: int = 14) -> DataFrame:
     """(table_id, ordinal, column, type, rows, nulls, distinct, lowest), one scan per table.
 
-    ``distinct`` is a sketch estimate: exact distinct counts of every column
+    ``distinct`` is a sketch estimate for whole numbers and texts, good to one
+    percent and exact for few values: exact distinct counts of every column
     would multiply the rows by the number of columns before the shuffle.
     """
     frames = []
@@ -30,17 +31,17 @@ def column_profile(tables: Mapping[str, DataFrame], precision: float = 0.01) ->
         aggregates, entries = [count_all().alias("rows")], []
         for i, f in enumerate(df.schema.fields):
             kind = f.dataType.simpleString()
-            plain = kind in _NUMERIC or kind == "string" or kind.startswith(("timestamp", "date"))
             aggregates.append(F.count(f.name).alias(f"v{i}"))
-            if plain:
-                aggregates.append(F.approx_count_distinct(f.name, precision).alias(f"d{i}"))
+            if kind in _DISCRETE:
+                value = F.col(f.name) if kind in ("bigint", "string") else F.col(f.name).cast("int")
+                aggregates.append(F.hll_sketch_estimate(F.hll_sketch_agg(value, sketch_size)).alias(f"d{i}"))
             if kind in _NUMERIC:
                 aggregates.append(F.min(f.name).cast("double").alias(f"l{i}"))
             entries.append(
                 F.struct(
                     F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), F.lit(kind).alias("type"),
                     (F.col("rows") - F.col(f"v{i}")).alias("nulls"),
-                    (F.col(f"d{i}") if plain else F.lit(None)).cast("bigint").alias("distinct"),
+                    (F.col(f"d{i}") if kind in _DISCRETE else F.lit(None)).cast("bigint").alias("distinct"),
                     (F.col(f"l{i}") if kind in _NUMERIC else F.lit(None)).cast("double").alias("lowest"),
                 )
             )
@@ -64,7 +65,8 @@ def suggest_checks(
     """
     is_time = F.col("type").rlike("^(timestamp|date)")
     times = W.partitionBy("table_id", is_time).orderBy("ordinal")
-    first_time = is_time & (F.row_number().over(times) == 1)
+    profile = profile.withColumn("_first_time", is_time & (F.row_number().over(times) == 1))
+    first_time = F.col("_first_time")
     has_rows = F.col("rows") > 0
     unique = F.col("type").isin(*_DISCRETE) & has_rows & (F.col("distinct") >= F.col("rows") * nearly_all)
     few = F.col("type").isin(*_DISCRETE) & has_rows & (F.col("distinct") <= few_values) & ~unique

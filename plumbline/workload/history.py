@@ -132,9 +132,9 @@ _REFERENCE_SQL = "CASE WHEN value > 10 THEN event_type ELSE concat('check ', eve
         SELECT DISTINCT user_id AS run_id, event_type AS query_id, concat('check ', event_type) AS check_name FROM events
         UNION ALL SELECT DISTINCT user_id, 'schema', 'check schema' FROM events),
     f AS (SELECT user_id AS run_id, {_REFERENCE_SQL} AS ref, concat(event_type, ' #', event_id) AS title,
-                 row_number() OVER (PARTITION BY user_id, {_REFERENCE_SQL} ORDER BY ts, event_id) AS at FROM events),
-    g AS (SELECT run_id, ref, (at - 1) // 10 AS chunk, count(*) AS n_findings,
-                 string_agg(title, '; ' ORDER BY at) AS supports FROM f GROUP BY 1, 2, 3),
+                 row_number() OVER (PARTITION BY user_id, {_REFERENCE_SQL} ORDER BY ts, event_id) AS pos FROM events),
+    g AS (SELECT run_id, ref, (pos - 1) // 10 AS chunk, count(*) AS n_findings,
+                 string_agg(title, '; ' ORDER BY pos) AS supports FROM f GROUP BY 1, 2, 3),
     l AS (SELECT c.run_id, c.query_id, CASE WHEN g.ref = c.query_id THEN 'id' ELSE 'name' END AS matched_by,
                  g.chunk, g.n_findings, g.supports
           FROM checks c JOIN g ON g.run_id = c.run_id AND (g.ref = c.query_id OR g.ref = c.check_name))

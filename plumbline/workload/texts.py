@@ -150,9 +150,9 @@ def _centres(embeddings: DataFrame) -> DataFrame:
 
 
 @query(f"""
-    WITH n AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS at FROM embeddings),
-    m AS (SELECT label, at, avg(x) AS x FROM n GROUP BY 1, 2),
-    c AS (SELECT label, list(x ORDER BY at) AS centre FROM m GROUP BY 1),
+    WITH n AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+    m AS (SELECT label, pos, avg(x) AS x FROM n GROUP BY 1, 2),
+    c AS (SELECT label, list(x ORDER BY pos) AS centre FROM m GROUP BY 1),
     s AS (SELECT c.label AS query_id, e.vec_id AS match_id, {_COSINE.format(a='c.centre', b='e.embedding')} AS similarity
           FROM c CROSS JOIN embeddings e),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, match_id) AS "rank" FROM s)
