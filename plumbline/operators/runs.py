@@ -222,11 +222,12 @@ def run_snapshot(
     }
 
 
+def status_key() -> Column:
+    return F.concat_ws(":", F.coalesce("status", F.lit("unknown")), F.coalesce("current_node", F.lit("none")))
+
+
 def status_changes(events: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
     """Rows where ``status:current_node`` of a run differs from the row before."""
-    keyed = events.withColumn(
-        "status_key",
-        F.concat_ws(":", F.coalesce("status", F.lit("unknown")), F.coalesce("current_node", F.lit("none"))),
-    )
+    keyed = events.withColumn("status_key", status_key())
     seen = split_previous(keyed, ["run_id"], list(order), F.col("status_key"), bucket, "_before")
     return seen.where(~F.col("status_key").eqNullSafe(F.col("_before"))).drop("_before")

@@ -23,7 +23,7 @@ def bands(spark: SparkSession, rows: tuple[tuple, ...] = DEFAULT_BANDS) -> DataF
     )
 
 
-def findings(evidence: DataFrame, thresholds: DataFrame, digits: int = 4) -> DataFrame:
+def findings(evidence: DataFrame, thresholds: DataFrame, digits: int = 6) -> DataFrame:
     """A finding per judged check.
 
     Kinds without bounds give no finding.  A check that ran but observed

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.columns import count_all
-from ..operators.runs import for_daemon
+from ..functions.ordering import split_previous
+from ..operators import runs
+from ..session import shared_folder
+from .runner import drain, read_drained, rows_path, write_drained
 
 # The kinds of change that can make a run pending.
 RUN_OPERATIONS = ("insert", "update", "replace")
@@ -24,7 +25,7 @@ def pending_runs(changes: DataFrame) -> DataFrame:
     every run id seen, as the feed's promise demands.
     """
     wanted = changes.where(F.col("operation").isin(*RUN_OPERATIONS) & (F.col("status") == "pending"))
-    return for_daemon(wanted).dropDuplicates(["run_id"])
+    return runs.for_daemon(wanted).dropDuplicates(["run_id"])
 
 
 def new_answers(changes: DataFrame) -> DataFrame:
@@ -33,87 +34,98 @@ def new_answers(changes: DataFrame) -> DataFrame:
     return inserted.dropDuplicates(["run_id", "question_id"])
 
 
-class _Matched(StatefulProcessor):
-    """Per (run, round, question): tells once that the question is asked and answered."""
+def question_matches(notes: DataFrame) -> DataFrame:
+    """Questions that are both asked and answered.  Output mode: update.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("seen", "questions bigint, answered boolean, told boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        questions, answered, told = self._state.get() if self._state.exists() else (None, False, False)
-        for part in rows:
-            asked = part["n_questions"].dropna()
-            if len(asked):
-                questions = max(int(asked.max()), questions or 0)
-            answered = answered or bool((part["kind"] == "answer").any())
-        complete = questions is not None and answered and not told
-        self._state.update((questions, answered, told or complete))
-        if complete:
-            yield pd.DataFrame(
-                {"run_id": [key[0]], "round": [key[1]], "question_id": [key[2]], "n_questions": [questions]}
-            )
-
-    def close(self) -> None:
-        pass
+    ``notes`` are questions and answers under each other: kind ("question" or
+    "answer"), run_id, round, question_id, n_questions (of the round, null on
+    answers).  An answer with an unknown id never gets a question and stays
+    silent.  State is one row per question, so a round with very many questions
+    is spread out.  A repeated note shows its question again, which
+    :func:`complete_rounds` ignores.
+    """
+    return (
+        notes.groupBy("run_id", "round", "question_id")
+        .agg(
+            F.max(F.col("n_questions").cast("bigint")).alias("n_questions"),
+            F.bool_or(F.col("kind") == "answer").alias("_answered"),
+        )
+        .where(F.col("_answered") & F.col("n_questions").isNotNull())
+        .drop("_answered")
+    )
 
 
-def complete_rounds(notes: DataFrame) -> DataFrame:
+def complete_rounds(matches: DataFrame) -> DataFrame:
     """Rounds whose questions are all answered, each emitted once.  Output mode: update.
 
-    ``notes`` are questions and answers under each other: kind ("question" or
-    "answer"), run_id, round, question_id, n_questions (of the round, null on
-    answers).  Repeated notes and unknown ids change nothing.
-
-    State is kept per question, so a round with very many questions is spread
-    out; the matches are then counted per round with partial sums.  Counts
-    only grow and stop at n_questions, hence a round is complete exactly once.
+    ``matches`` is a stream over the drained :func:`question_matches`.  Every
+    question counts once, added up per round with partial sums.  The count only
+    grows and stops at n_questions, hence a round is complete exactly once,
+    however the notes were cut into batches.
     """
-    id_fields = [notes.schema[c] for c in ("run_id", "round", "question_id")]
-    schema = T.StructType(id_fields + [T.StructField("n_questions", T.LongType())])
-    keyed = notes.select("run_id", "round", "question_id", "kind", F.col("n_questions").cast("bigint"))
-    matched = keyed.groupBy("run_id", "round", "question_id").transformWithStateInPandas(
-        _Matched(), schema, "append", "none"
+    once = matches.select("run_id", "round", "question_id", "n_questions").dropDuplicates(
+        ["run_id", "round", "question_id"]
     )
     return (
-        matched.groupBy("run_id", "round")
+        once.groupBy("run_id", "round")
         .agg(count_all().alias("answered"), F.max("n_questions").alias("n_questions"))
         .where(F.col("answered") == F.col("n_questions"))
     )
 
 
-class _Changes(StatefulProcessor):
-    """Per run: the rows whose key differs from the last key seen."""
-
-    def __init__(self, order: Sequence[str]) -> None:
-        self._order = list(order)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "status_key string")
+def drain_gate(notes: DataFrame, folder: str | None = None) -> DataFrame:
+    """Both steps of the gate over all notes that are available."""
+    spark = notes.sparkSession
+    folder = folder or shared_folder(spark, "gate")
+    matched = drain(question_matches(notes), "matches", "update", f"{folder}/matches")
+    again = spark.readStream.schema(matched.schema).parquet(rows_path(f"{folder}/matches"))
+    return drain(complete_rounds(again), "rounds", "update", f"{folder}/rounds")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self._last.get()[0] if self._last.exists() else None
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self._order, kind="stable")
-        before = batch["status_key"].shift(1)
-        before.iloc[0] = last
-        self._last.update((batch["status_key"].iloc[-1],))
-        yield batch[batch["status_key"].ne(before)]
 
-    def close(self) -> None:
-        pass
+def drain_status_changes(
+    events: DataFrame, order: Sequence[str], bucket: Column, folder: str | None = None, compact_every: int = 20
+) -> DataFrame:
+    """Rows where ``status:current_node`` of a run changed, over all events that are available.
 
-
-def status_changes(events: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows where ``status:current_node`` of a run changed.  Output mode: append or update.
-
-    Rows of one run are sorted by ``order`` inside a micro-batch, so open the
-    stream with a byte bound per trigger.
+    Inside a micro-batch this is the batch operator, so one busy run is spread
+    over its buckets.  The last key of every run in a batch goes to a table;
+    every ``compact_every`` batches it takes in all runs, so a batch looks back
+    over a bounded number of earlier ones.  A repeated batch writes the same
+    rows again.
     """
-    keyed = events.select(
-        "run_id", *order,
-        F.concat_ws(":", F.coalesce("status", F.lit("unknown")), F.coalesce("current_node", F.lit("none")))
-        .alias("status_key"),
+    spark = events.sparkSession
+    folder = folder or shared_folder(spark, "status-changes")
+    keyed = events.select("run_id", *order, runs.status_key().alias("status_key"))
+    last_schema = T.StructType(
+        [keyed.schema["run_id"], keyed.schema["status_key"], T.StructField("batch", T.LongType())]
     )
-    return keyed.groupBy("run_id").transformWithStateInPandas(_Changes(order), keyed.schema, "append", "none")
+
+    def changed(batch: DataFrame, number: int) -> DataFrame:
+        oldest = max(0, number - 1) // compact_every * compact_every
+        earlier = read_drained(spark, f"{folder}/last", last_schema).where(
+            F.col("batch").between(oldest, number - 1)
+        )
+        if number % compact_every:
+            earlier = earlier.join(batch.select("run_id").distinct(), "run_id", "left_semi")
+        last = earlier.groupBy("run_id").agg(F.max_by("status_key", "batch").alias("status_key"))
+        # What was known before comes first, whatever the times in the batch.
+        unset = [F.lit(None).cast(keyed.schema[c].dataType).alias(c) for c in order]
+        both = batch.withColumn("_new", F.lit(1)).unionByName(
+            last.select("run_id", *unset, "status_key").withColumn("_new", F.lit(0))
+        )
+        placed = ["_new", *order]
+        first = F.when(F.col("_new") == 0, F.lit(-(2**31))).otherwise(bucket)
+        seen = split_previous(both, ["run_id"], placed, F.col("status_key"), first, "_before")
+        newest = both.groupBy("run_id").agg(
+            F.max_by("status_key", F.struct(*placed)).alias("status_key"), F.max("_new").alias("_new")
+        )
+        if number % compact_every:
+            newest = newest.where(F.col("_new") == 1)
+        write_drained(newest.drop("_new"), f"{folder}/last", number)
+        return seen.where((F.col("_new") == 1) & ~F.col("status_key").eqNullSafe(F.col("_before"))).drop("_new", "_before")
+
+    write_drained(spark.createDataFrame([], T.StructType(last_schema.fields[:2])), f"{folder}/last", -1)
+    return drain(keyed, "status-changes", folder=folder, each=changed)
 
 
 def rows_by_day(events: DataFrame, ts: str, late: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,24 +44,47 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_PROVIDER, before)
 
 
+def rows_path(folder: str) -> str:
+    """Where :func:`drain` puts its rows; can be opened as a stream in turn."""
+    return f"{folder}/rows"
+
+
+def write_drained(df: DataFrame, path: str, batch: int) -> None:
+    """The rows of one micro-batch; a repeated batch replaces its own rows."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_drained(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All batches under ``path``; ``schema`` includes the column ``batch``, which prunes."""
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
 def drain(
-    stream: DataFrame, label: str, output_mode: str = "append", folder: str | None = None
+    stream: DataFrame, label: str, output_mode: str = "append", folder: str | None = None,
+    each: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Process all that is available and read back what was emitted.
 
-    Every micro-batch overwrites its own ``batch=N`` folder, so a batch that is
-    repeated after a failure leaves its rows once.  With the same ``folder`` a
-    later call goes on from the checkpoint.
+    ``each`` may turn a micro-batch into the rows to keep.  With the same
+    ``folder`` a later call goes on from the checkpoint.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark, label)
-    rows = f"{folder}/rows"
+    rows = rows_path(folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+        if each is None:
+            write_drained(batch, rows, number)
+            return
+        # The batch is read more than once; a lost executor reads it again from the source.
+        batch.persist()
+        try:
+            write_drained(each(batch, number), rows, number)
+        finally:
+            batch.unpersist()
 
-    # The table exists from the start, also when no batch ever comes.
     schema = T.StructType(stream.schema.fields)
+    # The table exists from the start, also when no batch ever comes.
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{rows}/batch=-1")
     with rocksdb_state(spark):
         query = (
@@ -72,5 +95,4 @@ def drain(
             .start()
         )
         query.awaitTermination()
-    batched = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
-    return spark.read.schema(batched).option("basePath", rows).parquet(rows)
+    return read_drained(spark, rows, T.StructType(schema.fields + [T.StructField("batch", T.LongType())]))

@@ -159,7 +159,7 @@ _PUBLISHED_SQL = """published AS (
           FROM gold g FULL OUTER JOIN published p ON g."key" = p."key" AND g."day" = p."day")
     SELECT "key", CAST("day" AS VARCHAR) AS "day", status,
            coalesce(round(dt, 2), -1) AS derived_total, coalesce(round(pt, 2), -1) AS published_total,
-           coalesce(round(da, 4), -1) AS derived_average, coalesce(round(pa, 4), -1) AS published_average,
+           coalesce(round(da, 8), -1) AS derived_average, coalesce(round(pa, 8), -1) AS published_average,
            coalesce(dp, -1) AS derived_peak, coalesce(pp, -1) AS published_peak
     FROM c WHERE status <> 'match'
 """)
@@ -177,7 +177,7 @@ def agg_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
         detail, published, ["key", "day"], "value",
         {"total": "daily_total", "average": "average_reading", "peak": "peak"},
     )
-    digits = {"total": 2, "average": 4, "peak": 2}
+    digits = {"total": 2, "average": 8, "peak": 2}
     shown = [
         F.coalesce(F.round(f"{side}_{part}", n), F.lit(-1.0)).alias(f"{side}_{part}")
         for part, n in digits.items() for side in ("derived", "published")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import day_number
 from ..streaming import feeds
 from ..streaming.runner import drain, open_stream
 from . import query, table
@@ -64,7 +65,7 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(None).cast("bigint").alias("n_questions"),
         )
     )
-    return drain(feeds.complete_rounds(asked.unionByName(answered)), "stream-gate", "update").drop("batch")
+    return feeds.drain_gate(asked.unionByName(answered)).drop("batch")
 
 
 _KEY_SQL = "concat(o_orderstatus, ':', o_orderpriority)"
@@ -81,8 +82,9 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("run_id"), "o_orderdate", "o_orderkey", F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("current_node"),
     )
-    changes = feeds.status_changes(seen, ["o_orderdate", "o_orderkey"])
-    return drain(changes, "stream-status").select("run_id", "o_orderkey", "status_key")
+    quarter = F.floor(day_number("o_orderdate") / 91).cast("int")
+    changes = feeds.drain_status_changes(seen, ["o_orderdate", "o_orderkey"], quarter)
+    return changes.select("run_id", "o_orderkey", "status_key")
 
 
 @query("""

@@ -107,8 +107,8 @@ _BANDS_SQL = ", ".join(f"('{k}', {p}::DOUBLE, {w}::DOUBLE, '{m}', '{a}')" for k,
                       WHEN observed <= warn_to THEN 'warn' ELSE 'fail' END AS severity
           FROM evidence e JOIN bands b ON e.kind = b.kind)
     SELECT concat(kind, ' of ', target_table, ': ', severity) AS title, severity,
-           CASE WHEN status = 'ok' THEN concat(measured, ': ', printf('%.4f', observed), ' (passes up to ',
-                printf('%.4f', pass_to), ')') ELSE concat('not run: ', status) END AS evidence,
+           CASE WHEN status = 'ok' THEN concat(measured, ': ', printf('%.6f', observed), ' (passes up to ',
+                printf('%.6f', pass_to), ')') ELSE concat('not run: ', status) END AS evidence,
            CASE WHEN severity = 'pass' THEN 'no action' ELSE action END AS recommended_action,
            check_id AS related_check, target_table AS related_table
     FROM j

@@ -299,22 +299,22 @@ def silver_half_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {SILVER_SQL}, {GOLD_SQL}
     SELECT "key", CAST("day" AS VARCHAR) AS "day", round(daily_total, 2) AS daily_total,
-           round(average_reading, 4) AS average_reading, peak, peak_timestamp FROM gold
+           round(average_reading, 8) AS average_reading, peak, peak_timestamp FROM gold
 """)
 def gold_peak_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.peak_day(silver(spark, sf_dir), key="user_id", ts="ts", reading="value").select(
         "key", F.col("day").cast("string").alias("day"), F.round("daily_total", 2).alias("daily_total"),
-        F.round("average_reading", 4).alias("average_reading"), "peak", "peak_timestamp",
+        F.round("average_reading", 8).alias("average_reading"), "peak", "peak_timestamp",
     )
 
 
 @query(f"""
     WITH {SILVER_SQL}
     SELECT user_id AS "key", CAST(half_hour_slot AS INT) AS half_hour_slot,
-           round(avg(value), 4) AS average_reading, count(*) AS readings
+           round(avg(value), 8) AS average_reading, count(*) AS readings
     FROM silver GROUP BY 1, 2
 """)
 def load_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.load_profile(silver(spark, sf_dir), key="user_id", reading="value").withColumn(
-        "average_reading", F.round("average_reading", 4)
+        "average_reading", F.round("average_reading", 8)
     )
