@@ -24,6 +24,11 @@ from .columns import count_all
 _BUCKET = "_bucket"
 
 
+def _cut(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    # Said outright, because rows that already lie by key would satisfy the window as they are.
+    return df.withColumn(_BUCKET, bucket).repartition(*keys, _BUCKET)
+
+
 def split_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str = "position",
     base: DataFrame | None = None,
@@ -33,9 +38,10 @@ def split_position(
     ``base`` (keys, size) counts rows that come before all of ``df``; positions
     go on from there.
     """
-    cut = df.withColumn(_BUCKET, bucket)
+    cut = _cut(df, keys, bucket)
     before = W.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    sizes = cut.groupBy(*keys, _BUCKET).agg(count_all().alias("_size"))
+    # Counted from the source, so that the map side reduces before the shuffle.
+    sizes = df.withColumn(_BUCKET, bucket).groupBy(*keys, _BUCKET).agg(count_all().alias("_size"))
     if base is not None:
         sizes = sizes.unionAll(
             base.select(*keys, F.lit(-(2**31)).alias(_BUCKET), F.col("size").cast("bigint").alias("_size"))
@@ -55,8 +61,11 @@ def split_previous(
     name: str = "previous",
 ) -> DataFrame:
     """Add ``value`` of the row before, inside the key; null for the first row."""
-    cut = df.withColumn(_BUCKET, bucket).withColumn("_value", value)
-    tails = cut.groupBy(*keys, _BUCKET).agg(F.max_by(F.struct("_value"), F.struct(*order)).alias("_tail"))
+    cut = _cut(df.withColumn("_value", value), keys, bucket)
+    tails = (
+        df.withColumn("_value", value).withColumn(_BUCKET, bucket).groupBy(*keys, _BUCKET)
+        .agg(F.max_by(F.struct("_value"), F.struct(*order)).alias("_tail"))
+    )
     carried = tails.select(
         *keys, _BUCKET, F.lag("_tail").over(W.partitionBy(*keys).orderBy(_BUCKET)).alias("_carried")
     )

@@ -20,7 +20,7 @@ ELIDE_OVER, ELIDE_KEEP = 30000, 15000
 ELIDE_MARK = "\n\n... (middle elided for length) ...\n\n"
 
 # The characters str.strip removes, for the regex engine of the JVM.
-_SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _FORBIDDEN = r"(?i)\b(" + "|".join(FORBIDDEN_WORDS) + r")\b"
 _READ = r"(?i)\A" + _SPACE + r"*(" + "|".join(READ_VERBS) + r")\b"
 # strict mode: literals and comments are no SQL words.
@@ -79,21 +79,27 @@ def strip_fence(value: ColumnLike) -> Column:
     return F.when(text.startswith("```"), strip(closed)).otherwise(text)
 
 
-def whole_json(value: ColumnLike) -> Column:
-    """The text as a variant when all of it is one JSON value, else null.
+def with_whole_json(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Add the text as a variant when all of it is one JSON value, else null.
 
-    The parser stops after the first value and would accept text behind it.
-    Text that follows the value inside ``[...]`` and inside ``{"v":...}`` would
-    have to close a bracket and a brace at once, so both readings together are
-    exact.
+    The parser stops after the first value and would accept text behind it, so
+    the text is read as the only item of a list.  Text behind the value can
+    escape the list only by closing it; where there is a closing bracket, the
+    text must be readable inside ``{"v":...}`` as well, which would take a
+    closing brace at the same place.
+
+    Text and list are columns of their own, so each is computed once; a null
+    text costs nothing.
     """
-    text = column(value)
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    boxed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    single = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(
-        listed, "$[1]", "variant"
-    ).isNull()
-    return F.when(single & boxed.isNotNull(), F.try_variant_get(boxed, "$.v", "variant"))
+    staged = df.withColumn("_text", text)
+    staged = staged.withColumn("_list", F.try_parse_json(F.concat(F.lit("["), "_text", F.lit("]"))))
+    boxed = F.when(
+        F.col("_text").contains("]"), F.try_parse_json(F.concat(F.lit('{"v":'), "_text", F.lit("}"))).isNotNull()
+    ).otherwise(True)
+    alone = F.try_variant_get("_list", "$[1]", "variant").isNull()
+    return staged.withColumn(
+        name, F.when(alone & boxed, F.try_variant_get("_list", "$[0]", "variant"))
+    ).drop("_text", "_list")
 
 
 def _between(text: Column, opening: str, closing: str) -> Column:
@@ -110,10 +116,13 @@ def salvage_json(df: DataFrame, text: str, error_prefix: int = 200) -> DataFrame
     Tried in turn: the text without its fence, from the first { to the last },
     from the first [ to the last ].
     """
-    staged = df.withColumn("_raw", strip_fence(text))
-    staged = staged.withColumn("_whole", whole_json("_raw"))
-    staged = staged.withColumn("_object", whole_json(_between(F.col("_raw"), "{", "}")))
-    staged = staged.withColumn("_array", whole_json(_between(F.col("_raw"), "[", "]")))
+    raw = F.col("_raw")
+    staged = with_whole_json(df.withColumn("_raw", strip_fence(text)), raw, "_whole")
+    # Later readings are tried only where the earlier ones failed.
+    failed = F.col("_whole").isNull()
+    staged = with_whole_json(staged, F.when(failed, _between(raw, "{", "}")), "_object")
+    failed = failed & F.col("_object").isNull()
+    staged = with_whole_json(staged, F.when(failed, _between(raw, "[", "]")), "_array")
     found = (
         F.when(F.col("_whole").isNotNull(), "whole")
         .when(F.col("_object").isNotNull(), "object")

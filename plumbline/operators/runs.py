@@ -76,17 +76,16 @@ def findings_by_check(
         named.where(F.col("_ref").isNotNull()), ["run_id", "_ref"], "_title", [F.col(o) for o in order],
         F.col("_day"), chunk_size=chunk_size, name="supports",
     )
-    # Each reference resolves once, to the ids it equals or else to the names.
-    refs = checks.select("run_id", F.col("query_id").alias("_ref"), "query_id", F.lit(0).alias("_how")).unionByName(
-        checks.select("run_id", F.col("check_name").alias("_ref"), "query_id", F.lit(1).alias("_how"))
+    # A reference means the check with that id; only if there is none, those of that name.
+    by_id = checks.select("run_id", F.col("query_id").alias("_ref"), "query_id").distinct()
+    by_name = checks.select("run_id", F.col("check_name").alias("_ref"), "query_id").distinct()
+    links = by_id.withColumn("_how", F.lit("id")).unionAll(
+        by_name.join(by_id, ["run_id", "_ref"], "left_anti").withColumn("_how", F.lit("name"))
     )
-    targets = refs.distinct()
-    best = targets.groupBy("run_id", "_ref").agg(F.min("_how").alias("_how"))
-    links = targets.join(best, ["run_id", "_ref", "_how"], "left_semi")
     attached = links.join(gathered, ["run_id", "_ref"])
     return checks.join(attached, ["run_id", "query_id"], "left").select(
         "run_id", "query_id", "check_name", "status",
-        F.when(F.col("_how") == 0, "id").when(F.col("_how") == 1, "name").alias("matched_by"),
+        F.col("_how").alias("matched_by"),
         F.coalesce("chunk", F.lit(0).cast("bigint")).alias("chunk"),
         F.coalesce("n_texts", F.lit(0).cast("bigint")).alias("n_findings"), "supports",
     )
@@ -127,7 +126,8 @@ def answers_complete(
     :func:`plumbline.sources.logs.last_write`).  Unknown ids never count.
     """
     key = ["run_id", "round", "question_id"]
-    asked = questions.dropDuplicates(key)
+    # By all three keys: a run with very many questions must not stay in one partition.
+    asked = questions.repartition(*key).dropDuplicates(key)
     matched = asked.join(answers.select(*answer_key, "answer"), list(answer_key))
     complete = (
         matched.groupBy("run_id", "round")
