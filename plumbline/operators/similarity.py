@@ -275,51 +275,47 @@ def _unscored(queries: DataFrame, ids: list, schema: T.StructType) -> DataFrame:
     )
 
 
-def signatures(df: DataFrame, vector_id: str, vector: str, bits: int = 512, seed: int = 7) -> DataFrame:
-    """(id, signature): one bit per random hyperplane, as an array of longs.
+def vector_codes(df: DataFrame, vector_id: str, vector: str) -> DataFrame:
+    """(id, code): every vector as one signed byte per number, scaled to its own largest.
 
-    Write the result to a table once and search it many times; it is a small
-    fraction of the vectors' size.
+    A quarter of the bytes of the vectors.  Write the result to a table once
+    and search it many times.  A vector without length gets no code.
     """
-    if bits % 64:
-        raise ValueError("bits must be a multiple of 64")
     source = df.select(F.col(vector_id).alias("id"), F.col(vector).alias("vector"))
-    schema = T.StructType([source.schema["id"], T.StructField("signature", T.ArrayType(T.LongType()))])
+    schema = T.StructType([source.schema["id"], T.StructField("code", T.BinaryType())])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = _sign_words(batch.column("vector"), bits, seed)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(list(words), pa.list_(pa.int64()))], names=["id", "signature"]
-            )
-
-    return source.mapInArrow(sign, schema)
+            vectors = batch.column("vector")
+            first = next((v for v in vectors if v.is_valid), None)
+            rows = _matrix(vectors, len(first) if first is not None else 0)
+            top = np.abs(rows).max(axis=1, initial=0.0)
+            codes = np.rint(rows / np.where(top > 0, top, 1.0)[:, None] * 127).astype(np.int8)
+            coded = [c.tobytes() if t > 0 else None for c, t in zip(codes, top)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(coded, pa.binary())], names=["id", "code"])
 
-
-def _sign_words(vectors: pa.Array | list, bits: int, seed: int) -> np.ndarray:
-    first = next((v for v in (vectors.to_pylist() if isinstance(vectors, pa.Array) else vectors) if v is not None), [])
-    rows = _matrix(vectors, len(first))
-    planes = np.random.default_rng(seed).standard_normal((len(first), bits))
-    return np.packbits(rows @ planes > 0, axis=1).view(np.int64)
+    return source.mapInArrow(encode, schema)
 
 
 def approximate_topk(
     queries: DataFrame, index: DataFrame, corpus: DataFrame, *, query_id: str, query_vector: str, corpus_id: str,
-    corpus_vector: str, k: int = 3, candidates: int = 30, bits: int = 512, seed: int = 7,
-    max_inline: int = MAX_INLINE_QUERIES,
+    corpus_vector: str, k: int = 3, candidates: int = 30, max_inline: int = MAX_INLINE_QUERIES,
 ) -> DataFrame:
-    """Candidates by Hamming distance of the signatures, then an exact ranking of those.
+    """Candidates by the cosine of their codes, then an exact ranking of those.
 
-    ``index`` comes from :func:`signatures` with the same ``bits`` and ``seed``.
-    At most ``max_inline`` queries at a time; split a longer list, or use the
-    exact :func:`vector_topk`, which has no such bound.
+    ``index`` comes from :func:`vector_codes` over ``corpus``.  More than
+    ``max_inline`` queries are answered exactly by :func:`vector_topk`.
     """
     asked = queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("vector")).limit(max_inline + 1).collect()
     if len(asked) > max_inline:
-        raise ValueError(f"more than {max_inline} queries; use vector_topk")
+        return vector_topk(
+            queries, corpus, query_id=query_id, query_vector=query_vector, corpus_id=corpus_id,
+            corpus_vector=corpus_vector, k=k, max_inline=max_inline,
+        )
     spark = corpus.sparkSession
     ids = [r["id"] for r in asked]
-    words = _sign_words([r["vector"] for r in asked], bits, seed) if asked else np.zeros((0, bits // 64), np.int64)
+    dims = next((len(r["vector"]) for r in asked if r["vector"] is not None), 0)
+    units, _ = _unit(_matrix([r["vector"] for r in asked], dims))
     id_type = index.schema["id"].dataType
     query_type = queries.schema[query_id].dataType
     near_schema = (
@@ -327,28 +323,27 @@ def approximate_topk(
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: list[tuple[np.ndarray, np.ndarray]] = [(np.array([]), np.array([])) for _ in ids]
+        top: list[tuple[list, list]] = [([], []) for _ in ids]
         for batch in batches:
-            flat = batch.column("signature").flatten().to_numpy(zero_copy_only=False)
-            block = flat.reshape(batch.num_rows, -1)
+            codes = b"".join(batch.column("code").to_pylist())
+            block, known = _unit(np.frombuffer(codes, np.int8).reshape(batch.num_rows, dims).astype(np.float32))
+            found = _scores(units.astype(np.float32), block, known)
             block_ids = np.array(batch.column("id").to_pylist())
-            for i in range(len(ids)):
-                apart = np.bitwise_count(block ^ words[i]).sum(axis=1).astype(np.float64)
-                best = _best(-apart, block_ids, candidates)
-                merged_ids = np.concatenate([top[i][0], block_ids[best]]) if len(top[i][0]) else block_ids[best]
-                merged = np.concatenate([top[i][1], -apart[best]])
+            for i, (top_ids, top_scores) in enumerate(top):
+                best = _best(found[i], block_ids, candidates)
+                merged_ids = np.array(top_ids + block_ids[best].tolist())
+                merged = np.array(top_scores + found[i][best].tolist())
                 keep = _best(merged, merged_ids, candidates)
-                top[i] = (merged_ids[keep], merged[keep])
-        out_q = [q for q, (found, _) in zip(ids, top) for _ in found]
-        out_c = [c for found, _ in top for c in found.tolist()]
-        out_s = [s for _, found in top for s in found.tolist()]
+                top[i] = (merged_ids[keep].tolist(), merged[keep].tolist())
+        out_q = [q for q, (found_ids, _) in zip(ids, top) for _ in found_ids]
         if out_q:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_q), pa.array(out_c), pa.array(out_s, pa.float64())],
+                [pa.array(out_q), pa.array([c for f, _ in top for c in f]),
+                 pa.array([float(s) for _, f in top for s in f], pa.float64())],
                 names=["query_id", "match_id", "similarity"],
             ).cast(_arrow_schema(near_schema))
 
-    near = _ranked(index.mapInArrow(scan, near_schema), candidates).select("query_id", "match_id")
+    near = _ranked(index.where(F.col("code").isNotNull()).mapInArrow(scan, near_schema), candidates).select("query_id", "match_id")
     # queries x candidates rows at most, by the two limits above.
     wanted = F.broadcast(near)
     vectors = corpus.select(F.col(corpus_id).alias("match_id"), F.col(corpus_vector).alias("vector"))

@@ -54,7 +54,7 @@ def defensive_limit(df: DataFrame, rows: int = 1000) -> DataFrame:
 def scan_bytes(df: DataFrame) -> int:
     """Upper bound of the bytes the plan reads, after pruning, before it runs."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def collect_guarded(df: DataFrame, *, limit: int, timeout_seconds: float = TIMEOUT_SECONDS) -> Outcome:

@@ -186,10 +186,10 @@ def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def vector_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty candidates by signature, then the exact best three."""
+def vector_topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty candidates by their codes, then the exact best three."""
     embeddings = table(spark, sf_dir, "embeddings")
-    index = similarity.signatures(embeddings, "vec_id", "embedding")
+    index = similarity.vector_codes(embeddings, "vec_id", "embedding")
     return similarity.approximate_topk(
         _centres(embeddings), index, embeddings, query_id="label", query_vector="centre", corpus_id="vec_id",
         corpus_vector="embedding",
