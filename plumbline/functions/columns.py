@@ -19,11 +19,6 @@ def day(value: ColumnLike) -> Column:
     return column(value).cast("date")
 
 
-def day_number(value: ColumnLike) -> Column:
-    """Days since 1970 as an int, with missing timestamps before all others."""
-    return F.coalesce(F.unix_date(day(value)), F.lit(-1_000_000))
-
-
 def moment(value: str) -> Column:
     """A zone-less timestamp literal."""
     return F.to_timestamp_ntz(F.lit(value))

@@ -1,14 +1,15 @@
 """Positions and neighbours inside a key that may hold most of the table.
 
-A plain window over ``partitionBy(key)`` puts a whole key into one task.  Here
-the key is first cut into buckets that follow the order (a day, an hour, a
-range of sequence numbers).  Windows run inside (key, bucket); what one bucket
-must know of the ones before it travels through a frame with one row per
-(key, bucket).  A key with a third of all rows is then spread over as many
-tasks as it has buckets.
-
-``keys`` must not be null: the small frame is joined back on them.
-``bucket`` must be an int column that never decreases along ``order``.
+A plain window over ``partitionBy(key)`` puts a whole key into one task, and
+cutting keys by day only helps until one day is hot.  Here the rows are first
+laid out in slices of even size along (key, order), by Spark's own sampled
+range partitioning, and written to the shared folder, so that every reader sees
+the same cut.  Windows run inside (key, slice).  What a slice must know of the
+ones before it travels through a frame with one row per (key, slice).
+
+``order`` must be total within a key; only then can any group be cut.  ``keys``
+must not be null, because the small frame is joined back on them.  The layout
+is written when the function is called.
 """
 
 from __future__ import annotations
@@ -19,75 +20,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .columns import count_all
 
-_BUCKET = "_bucket"
+_SLICE = "_slice"
 
 
-def _cut(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
-    # Said outright, because rows that already lie by key would satisfy the window as they are.
-    return df.withColumn(_BUCKET, bucket).repartition(*keys, _BUCKET)
+def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """Write ``df`` in even slices along (keys, order) and read it back with its slice number."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, "slices")
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A number given outright is kept as it is at run time, so the id of a partition is its rank.
+    sliced = df.repartitionByRange(n, *keys, *order).withColumn(_SLICE, F.spark_partition_id())
+    sliced.write.parquet(folder)
+    return spark.read.schema(sliced.schema).parquet(folder)
 
 
 def split_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str = "position",
-    base: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position",
+    base: DataFrame | None = None, slices: int | None = None,
 ) -> DataFrame:
-    """Add the 1-based position of each row inside its key.  ``order`` must be total.
+    """Add the 1-based position of each row inside its key.
 
     ``base`` (keys, size) counts rows that come before all of ``df``; positions
     go on from there.
     """
-    cut = _cut(df, keys, bucket)
-    before = W.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    # Counted from the source, so that the map side reduces before the shuffle.
-    sizes = df.withColumn(_BUCKET, bucket).groupBy(*keys, _BUCKET).agg(count_all().alias("_size"))
+    laid = lay_out(df, keys, order, slices)
+    sizes = laid.groupBy(*keys, _SLICE).agg(count_all().alias("_size"))
     if base is not None:
-        sizes = sizes.unionAll(
-            base.select(*keys, F.lit(-(2**31)).alias(_BUCKET), F.col("size").cast("bigint").alias("_size"))
-        )
-    starts = sizes.select(*keys, _BUCKET, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy(*keys, _BUCKET).orderBy(*order))
+        sizes = sizes.unionAll(base.select(*keys, F.lit(-1).alias(_SLICE), F.col("size").cast("bigint").alias("_size")))
+    before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*keys, _SLICE, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy(*keys, _SLICE).orderBy(*order))
     return (
-        cut.withColumn("_inside", inside)
-        .join(starts, [*keys, _BUCKET], "left")
+        laid.withColumn("_inside", inside)
+        .join(starts, [*keys, _SLICE], "left")
         .withColumn(name, F.col("_start") + F.col("_inside"))
-        .drop(_BUCKET, "_inside", "_start")
+        .drop(_SLICE, "_inside", "_start")
     )
 
 
 def split_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, bucket: Column,
-    name: str = "previous",
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str = "previous",
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ``value`` of the row before, inside the key; null for the first row."""
-    cut = _cut(df.withColumn("_value", value), keys, bucket)
-    tails = (
-        df.withColumn("_value", value).withColumn(_BUCKET, bucket).groupBy(*keys, _BUCKET)
-        .agg(F.max_by(F.struct("_value"), F.struct(*order)).alias("_tail"))
-    )
+    laid = lay_out(df.withColumn("_value", value), keys, order, slices)
+    tails = laid.groupBy(*keys, _SLICE).agg(F.max_by(F.struct("_value"), F.struct(*order)).alias("_tail"))
     carried = tails.select(
-        *keys, _BUCKET, F.lag("_tail").over(W.partitionBy(*keys).orderBy(_BUCKET)).alias("_carried")
+        *keys, _SLICE, F.lag("_tail").over(W.partitionBy(*keys).orderBy(_SLICE)).alias("_carried")
     )
-    inside = W.partitionBy(*keys, _BUCKET).orderBy(*order)
+    inside = W.partitionBy(*keys, _SLICE).orderBy(*order)
     return (
-        cut.withColumn("_lag", F.lag(F.struct("_value")).over(inside))
-        .join(carried, [*keys, _BUCKET], "left")
+        laid.withColumn("_lag", F.lag(F.struct("_value")).over(inside))
+        .join(carried, [*keys, _SLICE], "left")
         .withColumn(name, F.coalesce(F.col("_lag"), F.col("_carried"))["_value"])
-        .drop(_BUCKET, "_value", "_lag", "_carried")
+        .drop(_SLICE, "_value", "_lag", "_carried")
     )
 
 
 def chunked_text(
-    df: DataFrame, keys: Sequence[str], text: str, order: Sequence[Column], bucket: Column,
-    separator: str = "; ", chunk_size: int = 1000, name: str = "texts",
+    df: DataFrame, keys: Sequence[str], text: str, order: Sequence[str], separator: str = "; ",
+    chunk_size: int = 1000, name: str = "texts", slices: int | None = None,
 ) -> DataFrame:
     """Join texts per key in order, ``chunk_size`` texts to a row.
 
     A key with more texts than that gets several rows, numbered from 0 by
     ``chunk``, so no task ever holds an unbounded list and no text is lost.
     """
-    placed = split_position(df, keys, order, bucket, "_at").withColumn(
+    placed = split_position(df, keys, order, "_at", slices=slices).withColumn(
         "chunk", F.floor((F.col("_at") - 1) / F.lit(chunk_size))
     )
     items = F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col(text).alias("_text"))))

@@ -56,7 +56,7 @@ def unanswered(questions: DataFrame, answers: DataFrame, key: Sequence[str] = ("
 
 
 def findings_by_check(
-    executions: DataFrame, findings: DataFrame, order: Sequence[str], bucket: Column, chunk_size: int = 1000
+    executions: DataFrame, findings: DataFrame, order: Sequence[str], chunk_size: int = 1000
 ) -> DataFrame:
     """Executions with the titles of their findings, joined with "; ".
 
@@ -68,13 +68,13 @@ def findings_by_check(
     checks = executions.select("run_id", "query_id", "check_name", "status")
     named = findings.select(
         "run_id", F.col("related_check").alias("_ref"),
-        F.coalesce("title", F.lit("Untitled finding")).alias("_title"), *order, bucket.alias("_day"),
+        F.coalesce("title", F.lit("Untitled finding")).alias("_title"), *order,
     )
     # Titles are gathered per reference, before any join: a check is looked up
     # once per reference and not once per finding.
     gathered = chunked_text(
-        named.where(F.col("_ref").isNotNull()), ["run_id", "_ref"], "_title", [F.col(o) for o in order],
-        F.col("_day"), chunk_size=chunk_size, name="supports",
+        named.where(F.col("_ref").isNotNull()), ["run_id", "_ref"], "_title", order,
+        chunk_size=chunk_size, name="supports",
     )
     # A reference means the check with that id; only if there is none, those of that name.
     by_id = checks.select("run_id", F.col("query_id").alias("_ref"), "query_id").distinct()
@@ -226,8 +226,8 @@ def status_key() -> Column:
     return F.concat_ws(":", F.coalesce("status", F.lit("unknown")), F.coalesce("current_node", F.lit("none")))
 
 
-def status_changes(events: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
+def status_changes(events: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows where ``status:current_node`` of a run differs from the row before."""
     keyed = events.withColumn("status_key", status_key())
-    seen = split_previous(keyed, ["run_id"], list(order), F.col("status_key"), bucket, "_before")
+    seen = split_previous(keyed, ["run_id"], order, F.col("status_key"), "_before")
     return seen.where(~F.col("status_key").eqNullSafe(F.col("_before"))).drop("_before")

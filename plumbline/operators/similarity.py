@@ -18,6 +18,7 @@ Two exact plans:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_INLINE_QUERIES = 256
-PIVOTS = 64
 BLOCK_ROWS = 20_000
+MAX_PIVOTS = 2048
 _RANK_DIGITS = 9
 
 
@@ -93,11 +94,13 @@ def _ranked(candidates: DataFrame, k: int) -> DataFrame:
 def vector_topk(
     queries: DataFrame, corpus: DataFrame, *, query_id: str, query_vector: str, corpus_id: str,
     corpus_vector: str, k: int = 3, max_inline: int = MAX_INLINE_QUERIES, block_rows: int = BLOCK_ROWS,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
 ) -> DataFrame:
     """(query_id, match_id, similarity, rank) with the k most similar corpus rows per query.
 
-    Fetches at most ``max_inline`` + 1 queries to choose the plan.
+    Fetches at most ``max_inline`` + 1 queries to choose the plan.  Without
+    ``pivots``, the plan by cells takes the square root of the corpus size, at
+    most 2048.
     """
     q = queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("vector"))
     c = corpus.select(F.col(corpus_id).alias("id"), F.col(corpus_vector).alias("vector"))
@@ -147,9 +150,9 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 
 def _topk_cells(
-    queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, pivots: int, block_rows: int
+    queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, pivots: int | None, block_rows: int
 ) -> DataFrame:
-    spark = corpus.sparkSession
+    pivots = pivots or min(MAX_PIVOTS, max(16, math.isqrt(corpus.count())))
     # At most ``pivots`` vectors, ids and counts come to the driver below.
     chosen = (
         corpus.where(F.exists("vector", lambda x: x != 0))

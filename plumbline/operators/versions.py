@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import split_position
@@ -22,7 +22,7 @@ def latest_version(understandings: DataFrame, key: Sequence[str] = ("table_id",)
 
 
 def assign_versions(
-    incoming: DataFrame, stored: DataFrame, order: Sequence[str], bucket: Column, key: str = "table_id",
+    incoming: DataFrame, stored: DataFrame, order: Sequence[str], key: str = "table_id",
 ) -> DataFrame:
     """Number new rows on from the highest stored version of their table.
 
@@ -30,4 +30,4 @@ def assign_versions(
     version); ``order`` must be total within a table.
     """
     base = stored.groupBy(key).agg(F.max("version").alias("size"))
-    return split_position(incoming, [key], [F.col(o) for o in order], bucket, "version", base)
+    return split_position(incoming, [key], order, "version", base)

@@ -44,7 +44,7 @@ def findings(evidence: DataFrame, thresholds: DataFrame, digits: int = 6) -> Dat
         ran, F.concat(F.col("measured"), F.lit(": "), value, F.lit(" (passes up to "),
                       F.format_string(f"%.{digits}f", F.col("pass_to")), F.lit(")"))
     ).otherwise(F.concat(F.lit("not run: "), F.col("status")))
-    return evidence.join(F.broadcast(thresholds), "kind").select(
+    return evidence.join(thresholds, "kind").select(
         F.concat(F.col("check_name"), F.lit(": "), severity).alias("title"),
         severity.alias("severity"),
         text.alias("evidence"),

@@ -137,7 +137,8 @@ def _grouped(df: DataFrame, spec: CheckSpec) -> DataFrame:
     else:
         found = groups.accepted_values(df, spec.columns[0], None)
         order = [F.col("n").desc(), F.col("value")]
-    one = found.agg(count_all().alias("rows")).select("rows", _sampled(found, order, size).alias("sample"))
+    # Counted over n, so that count and sample read one and the same grouping.
+    one = found.agg(F.count_if(F.col("n") > 0).alias("rows")).select("rows", _sampled(found, order, size).alias("sample"))
     return one.select(F.inline(F.array(_evidence_row(spec, F.col("rows"), F.col("rows"), F.col("sample")))))
 
 

@@ -12,8 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_log(df: DataFrame, path: str, partition_by: Sequence[str] = ("run_id",)) -> None:
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+def append_log(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ("run_id",)
+) -> None:
+    """Add rows to a log.
+
+    Partition by something with few values, such as a day or a category; runs
+    are too many to be folders.  Rows are sorted inside the files instead, so
+    that a filter on the run skips row groups by their statistics.
+    """
+    spread = df.hint("rebalance", *partition_by) if partition_by else df
+    spread.sortWithinPartitions(*partition_by, *sort_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,12 +83,12 @@ def drain_gate(notes: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def drain_status_changes(
-    events: DataFrame, order: Sequence[str], bucket: Column, folder: str | None = None, compact_every: int = 20
+    events: DataFrame, order: Sequence[str], folder: str | None = None, compact_every: int = 20
 ) -> DataFrame:
     """Rows where ``status:current_node`` of a run changed, over all events that are available.
 
     Inside a micro-batch this is the batch operator, so one busy run is spread
-    over its buckets.  The last key of every run in a batch goes to a table;
+    over many tasks.  The last key of every run in a batch goes to a table;
     every ``compact_every`` batches it takes in all runs, so a batch looks back
     over a bounded number of earlier ones.  A repeated batch writes the same
     rows again.
@@ -114,8 +114,7 @@ def drain_status_changes(
             last.select("run_id", *unset, "status_key").withColumn("_new", F.lit(0))
         )
         placed = ["_new", *order]
-        first = F.when(F.col("_new") == 0, F.lit(-(2**31))).otherwise(bucket)
-        seen = split_previous(both, ["run_id"], placed, F.col("status_key"), first, "_before")
+        seen = split_previous(both, ["run_id"], placed, F.col("status_key"), "_before")
         newest = both.groupBy("run_id").agg(
             F.max_by("status_key", F.struct(*placed)).alias("status_key"), F.max("_new").alias("_new")
         )

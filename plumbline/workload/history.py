@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_all, day_number
+from ..functions.columns import count_all
 from ..operators import runs, versions
 from ..session import shared_folder
 from ..sources import catalog, logs
@@ -152,7 +152,7 @@ def findings_by_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", F.expr(_REFERENCE_SQL).alias("related_check"),
         F.concat("event_type", F.lit(" #"), "event_id").alias("title"), "ts", "event_id",
     )
-    attached = runs.findings_by_check(checks, found, ["ts", "event_id"], day_number("ts"), chunk_size=10)
+    attached = runs.findings_by_check(checks, found, ["ts", "event_id"], chunk_size=10)
     return attached.drop("status").na.fill("")
 
 
@@ -280,7 +280,7 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assign_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("table_id")).agg(count_all().alias("version"))
     incoming = table(spark, sf_dir, "events").select(F.col("user_id").alias("table_id"), "event_id", "ts")
-    numbered = versions.assign_versions(incoming, stored, ["ts", "event_id"], day_number("ts"))
+    numbered = versions.assign_versions(incoming, stored, ["ts", "event_id"])
     return numbered.select("event_id", "table_id", "version")
 
 
@@ -298,8 +298,7 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("run_id"), "o_orderdate", "o_orderkey", F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("current_node"),
     )
-    quarter = F.floor(day_number("o_orderdate") / 91).cast("int")
-    return runs.status_changes(seen, ["o_orderdate", "o_orderkey"], quarter).select("run_id", "o_orderkey", "status_key")
+    return runs.status_changes(seen, ["o_orderdate", "o_orderkey"]).select("run_id", "o_orderkey", "status_key")
 
 
 @query("""

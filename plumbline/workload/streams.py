@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import day_number
 from ..streaming import feeds
 from ..streaming.runner import drain, open_stream
 from . import query, table
@@ -82,8 +81,7 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("run_id"), "o_orderdate", "o_orderkey", F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("current_node"),
     )
-    quarter = F.floor(day_number("o_orderdate") / 91).cast("int")
-    changes = feeds.drain_status_changes(seen, ["o_orderdate", "o_orderkey"], quarter)
+    changes = feeds.drain_status_changes(seen, ["o_orderdate", "o_orderkey"])
     return changes.select("run_id", "o_orderkey", "status_key")
 
 

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordering import chunked_text, split_position, split_previous
+from plumbline.functions.ordering import chunked_text, lay_out, split_position, split_previous
 from plumbline.operators import runs, versions
 from plumbline.session import shared_folder
 from plumbline.sources import catalog, logs
@@ -50,7 +50,7 @@ def test_versions_count_failed_parses(spark):
     rows = spark.createDataFrame([("t", 1, False), ("t", 2, True), ("t", 3, False), ("u", 1, False)],
                                  "table_id string, at int, parsing_failed boolean")
     stored = spark.createDataFrame([("u", 4)], "table_id string, version bigint")
-    numbered = versions.assign_versions(rows, stored, ["at"], F.col("at"))
+    numbered = versions.assign_versions(rows, stored, ["at"])
     assert sorted((r["table_id"], r["version"]) for r in numbered.collect()) == [("t", 1), ("t", 2), ("t", 3), ("u", 5)]
     newest = versions.latest_version(runs.usable(numbered))
     assert sorted((r["table_id"], r["version"]) for r in newest.collect()) == [("t", 3), ("u", 5)]
@@ -58,28 +58,36 @@ def test_versions_count_failed_parses(spark):
 
 @MANY
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 40)), min_size=1, max_size=40, unique=True),
-       st.integers(1, 50))
-def test_split_position_is_a_row_number(spark, rows, width):
+       st.integers(1, 9))
+def test_split_position_is_a_row_number(spark, rows, slices):
     df = spark.createDataFrame(rows, "k string, at int")
-    placed = split_position(df, ["k"], [F.col("at")], F.floor(F.col("at") / width).cast("int"))
+    placed = split_position(df, ["k"], ["at"], slices=slices)
     want = {(k, at): 1 + sum(1 for k2, at2 in rows if k2 == k and at2 < at) for k, at in rows}
     assert {(r["k"], r["at"]): r["position"] for r in placed.collect()} == want
 
 
 @MANY
 @given(st.lists(st.tuples(st.integers(0, 60), st.sampled_from(["x", "y", None])), min_size=1, max_size=30,
-                unique_by=lambda r: r[0]), st.integers(1, 30))
-def test_split_previous_is_a_lag(spark, rows, width):
+                unique_by=lambda r: r[0]), st.integers(1, 9))
+def test_split_previous_is_a_lag(spark, rows, slices):
     df = spark.createDataFrame([("k", *r) for r in rows], "k string, at int, v string")
-    seen = split_previous(df, ["k"], ["at"], F.col("v"), F.floor(F.col("at") / width).cast("int"))
+    seen = split_previous(df, ["k"], ["at"], F.col("v"), slices=slices)
     ordered = sorted(rows)
     want = {at: (ordered[i - 1][1] if i else None) for i, (at, _) in enumerate(ordered)}
     assert {r["at"]: r["previous"] for r in seen.collect()} == want
 
 
+def test_a_hot_key_is_cut_into_even_slices(spark):
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k"), F.lit(1).alias("day"), "id")
+    laid = lay_out(rows, ["k"], ["day", "id"], slices=10)
+    sizes = [r["count"] for r in laid.groupBy("_slice").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 2 * 9000 / 10
+
+
 def test_chunks_lose_nothing(spark):
     df = spark.createDataFrame([("k", i, f"t{i}") for i in range(25)], "k string, at int, t string")
-    found = chunked_text(df, ["k"], "t", [F.col("at")], F.floor(F.col("at") / 4).cast("int"), chunk_size=10).orderBy("chunk")
+    found = chunked_text(df, ["k"], "t", ["at"], chunk_size=10, slices=7).orderBy("chunk")
     joined = [r["texts"] for r in found.collect()]
     assert len(joined) == 3 and "; ".join(joined) == "; ".join(f"t{i}" for i in range(25))
 
@@ -89,7 +97,7 @@ def test_findings_match_by_id_before_name(spark):
                                    "run_id string, query_id string, check_name string, status string")
     found = spark.createDataFrame([("r", "c1", "A", 1), ("r", "c1", "B", 2), ("r", "rows", "C", 3), ("r", None, "D", 4)],
                                   "run_id string, related_check string, title string, at int")
-    rows = runs.findings_by_check(checks, found, ["at"], F.lit(0)).collect()
+    rows = runs.findings_by_check(checks, found, ["at"]).collect()
     assert {r["query_id"]: (r["matched_by"], r["supports"]) for r in rows} == {
         "c1": ("id", "A; B"), "c2": ("name", "C"), "c3": (None, None)}
 
@@ -163,7 +171,7 @@ def test_snapshot_of_one_run(spark):
 def test_status_changes_need_no_key(spark):
     rows = spark.createDataFrame([("r", 1, None, None), ("r", 2, None, None), ("r", 3, "running", "x"), ("r", 4, "running", "x")],
                                  "run_id string, seq int, status string, current_node string")
-    found = runs.status_changes(rows, ["seq"], F.col("seq")).orderBy("seq").collect()
+    found = runs.status_changes(rows, ["seq"]).orderBy("seq").collect()
     assert [(r["seq"], r["status_key"]) for r in found] == [(1, "unknown:none"), (3, "running:x")]
 
 

@@ -3,8 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
-
 from plumbline.operators import runs
 from plumbline.session import shared_folder
 from plumbline.streaming import feeds
@@ -52,9 +50,9 @@ CHANGES += [("s", 1, "pending", "a"), ("s", 9, "pending", "a")]
 def test_status_changes_do_not_depend_on_batches(spark, parts, compact_every):
     schema = "run_id string, seq int, status string, current_node string"
     batch = spark.createDataFrame(CHANGES, schema)
-    want = {(r["run_id"], r["seq"]) for r in runs.status_changes(batch, ["seq"], F.col("seq")).collect()}
+    want = {(r["run_id"], r["seq"]) for r in runs.status_changes(batch, ["seq"]).collect()}
     stream = landed(spark, [spark.createDataFrame(p, schema) for p in cut(CHANGES, parts)], "status")
-    found = feeds.drain_status_changes(stream, ["seq"], F.col("seq"), compact_every=compact_every).collect()
+    found = feeds.drain_status_changes(stream, ["seq"], compact_every=compact_every).collect()
     assert {(r["run_id"], r["seq"]) for r in found} == want and len(found) == len(want)
 
 
