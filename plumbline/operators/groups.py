@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 from ..functions.columns import banded, count_all, day, moment, share
 
 
-def rows_by_day(df: DataFrame, ts: str, days: int | None = 14) -> DataFrame:
-    """(day, n) of the latest ``days`` days that have rows; every day with ``None``."""
+def rows_by_day(df: DataFrame, ts: str, days: int | None = 14, since: str | None = None) -> DataFrame:
+    """(day, n) of the latest ``days`` days that have rows; every day with ``None``.
+
+    ``since`` (a day) limits the scan, and skips partitions where the table is
+    partitioned by ``ts``.
+    """
+    if since is not None:
+        df = df.where(F.col(ts) >= F.lit(since).cast("date").cast("timestamp_ntz"))
     counts = df.groupBy(day(ts).alias("day")).agg(count_all().alias("n"))
     return counts if days is None else counts.orderBy(F.col("day").desc()).limit(days)
 

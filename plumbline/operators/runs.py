@@ -117,7 +117,8 @@ def run_list(runs: DataFrame, rollups: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def answers_complete(
-    questions: DataFrame, answers: DataFrame, answer_key: Sequence[str] = ("run_id", "round", "question_id")
+    questions: DataFrame, answers: DataFrame, answer_key: Sequence[str] = ("run_id", "round", "question_id"),
+    salt_above: int = 100_000,
 ) -> DataFrame:
     """Answers of the rounds in which every question has one, with the question's wording.
 
@@ -129,13 +130,16 @@ def answers_complete(
     # By all three keys: a run with very many questions must not stay in one partition.
     asked = questions.repartition(*key).dropDuplicates(key)
     matched = asked.join(answers.select(*answer_key, "answer"), list(answer_key))
+    # Every question knows the size of its round: large rounds are salted, small ones are not.
+    parts = F.ceil(F.col("n_questions") / F.lit(salt_above)).cast("int")
     complete = (
         matched.groupBy("run_id", "round")
-        .agg(count_all().alias("_answered"), F.max("n_questions").alias("_asked"))
-        .where(F.col("_answered") >= F.col("_asked"))
-        .select("run_id", "round")
+        .agg(count_all().alias("_answered"), F.max("n_questions").alias("n_questions"))
+        .where(F.col("_answered") >= F.col("n_questions"))
+        .select("run_id", "round", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt"))
     )
-    return matched.join(complete, ["run_id", "round"], "left_semi").select(
+    salted = matched.withColumn("_salt", F.pmod(F.xxhash64("question_id"), parts).cast("int"))
+    return salted.join(complete, ["run_id", "round", "_salt"], "left_semi").select(
         *key, "table_id", "question", "answer", "asked_at"
     )
 

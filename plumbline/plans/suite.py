@@ -124,7 +124,9 @@ def _sampled(rows: DataFrame, order: Sequence[Column], size: int) -> Column:
 def _grouped(df: DataFrame, spec: CheckSpec) -> DataFrame:
     size = int(spec.options.get("sample", 10))
     if spec.kind == "rows_by_day":
-        days = groups.rows_by_day(df, spec.columns[0], int(spec.options.get("days", 14)))
+        days = groups.rows_by_day(
+            df, spec.columns[0], int(spec.options.get("days", 14)), spec.options.get("since")
+        )
         apart = groups.median_deviation(days)
         one = apart.agg(
             F.max("deviation").alias("observed"), count_all().alias("rows"),

@@ -132,8 +132,9 @@ def test_gate(spark):
         ("done", 1, "q1", "a"), ("done", 1, "q2", "b"), ("partial", 1, "q3", "c"), ("partial", 1, "unknown", "d"),
         ("nobody", 1, "q9", "e"),
     ], "run_id string, round int, question_id string, answer string")
-    found = runs.answers_complete(asked, given_).orderBy("asked_at").collect()
-    assert [(r["run_id"], r["question_id"], r["answer"]) for r in found] == [("done", "q1", "a"), ("done", "q2", "b")]
+    for salt_above in (100_000, 1):
+        found = runs.answers_complete(asked, given_, salt_above=salt_above).orderBy("asked_at").collect()
+        assert [(r["run_id"], r["question_id"], r["answer"]) for r in found] == [("done", "q1", "a"), ("done", "q2", "b")]
 
 
 def test_answer_batches_are_judged_before_storing(spark):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.plans import guard, report, rules, suggest, suite
+from plumbline.plans.run import quality_run
 from plumbline.plans.suite import CheckSpec
 from plumbline.workload.suites import SPECS, suite_tables
 from plumbline.workload.tables import AS_OF
@@ -126,3 +127,18 @@ def test_report_reads_in_order(spark, tmp_path):
         "# Data QA Report", "Reviewed 1 tables. Severity summary: 1 pass, 0 warn, 1 fail.", "- **t1** — one",
         "- not characterised: t2", "- [FAIL] A — e", "- [PASS] B — e", "- [NONE] C — ", "- fix"]
     assert report.report_summaries(found).first()["severity_summary"].asDict() == {"pass": 1, "warn": 0, "fail": 1}
+
+
+def test_a_whole_run_is_kept(spark, sf_dir, tmp_path):
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "orders")}
+    store = str(tmp_path / "store")
+    for run_id in ("r1", "r2"):
+        result = quality_run(spark, tables, run_id=run_id, as_of=AS_OF, store=store)
+    assert len(result.specs) == suggest.TARGET_CHECKS
+    kept = spark.read.parquet(f"{store}/executions")
+    assert kept.groupBy("run_id").count().orderBy("run_id").collect() == [("r1", 8), ("r2", 8)]
+    assert {r["status"] for r in kept.collect()} == {"ok"}
+    rollups = spark.read.parquet(f"{store}/reports").orderBy("run_id").collect()
+    found = spark.read.parquet(f"{store}/findings")
+    assert sum(rollups[0][s] for s in ("pass", "warn", "fail")) == found.where("run_id = 'r1'").count()
+    assert spark.read.parquet(f"{store}/report_lines").where("run_id = 'r2' AND section = 1").count() == 1
