@@ -16,7 +16,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from plumbline import workload  # noqa: E402
-from plumbline.operators.profile import union_all  # noqa: E402
 from plumbline.session import build_session  # noqa: E402
 from plumbline.workload import table  # noqa: E402
 
@@ -35,8 +34,12 @@ def fused_metrics(spark, sf_dir):
 
 
 def separate_metrics(spark, sf_dir):
+    """The same metrics as one job each; gives the last of them to be timed with the rest."""
     df = table(spark, sf_dir, "lineitem")
-    return union_all(df.agg(m.cast("string").alias("m")) for m in _many_metrics(df))
+    *first, last = _many_metrics(df)
+    for m in first:
+        df.agg(m).write.format("noop").mode("overwrite").save()
+    return df.agg(last)
 
 
 def _timed(run, spark, sf_dir):

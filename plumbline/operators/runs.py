@@ -50,6 +50,15 @@ def for_daemon(runs: DataFrame, owned_elsewhere: str = "webapp") -> DataFrame:
     )
 
 
+def with_question_id(questions: DataFrame) -> DataFrame:
+    """Ids from what is asked, so that asking again after an interruption adds nothing new.
+
+    ``questions`` has run_id, round, table_id and question.
+    """
+    asked = F.to_json(F.struct("run_id", "table_id", "question", "round"))
+    return questions.withColumn("question_id", F.sha2(asked, 256))
+
+
 def unanswered(questions: DataFrame, answers: DataFrame, key: Sequence[str] = ("run_id", "question_id")) -> DataFrame:
     """Pending questions without an answer.  Sort by ``created_at`` to show them."""
     return questions.join(answers.select(*key), list(key), "left_anti")

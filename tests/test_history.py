@@ -137,6 +137,13 @@ def test_gate(spark):
         assert [(r["run_id"], r["question_id"], r["answer"]) for r in found] == [("done", "q1", "a"), ("done", "q2", "b")]
 
 
+def test_question_ids_repeat(spark):
+    rows = spark.createDataFrame([("r", 1, "t", "why?"), ("r", 1, "t", "why?"), ("r", 2, "t", "why?"), ("r", 1, None, "twhy?")],
+                                 "run_id string, round int, table_id string, question string")
+    ids = [r["question_id"] for r in runs.with_question_id(rows).collect()]
+    assert ids[0] == ids[1] and len(set(ids)) == 3
+
+
 def test_answer_batches_are_judged_before_storing(spark):
     pending = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), ("c", "4")], "run_id string, question_id string")
     provided = spark.createDataFrame([("a", "1", "x"), ("b", "3", "  "), ("c", "4", " ok "), ("c", "zz", "")],

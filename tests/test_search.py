@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from plumbline.operators import embedding, similarity
+from plumbline.operators import embedding, memory, similarity
 
 NAMES = dict(query_id="id", query_vector="v", corpus_id="id", corpus_vector="v")
 
@@ -106,6 +106,30 @@ def test_a_failing_model_is_a_column(spark):
     assert found == {1: (None, "model away"), 2: (None, None)}
 
 
+def test_memory_remembers_and_finds(spark):
+    schema = "run_id string, table_id string, business_description string, parsing_failed boolean, updated_at int"
+    first = memory.remember(spark.createDataFrame([
+        ("r1", "d.a", "meters", False, 1), ("r2", "d.a", None, True, 2), ("r3", "d.a", "meters again", False, 3),
+        ("r1", "d.b", "peaks", None, 1),
+    ], schema), spark.createDataFrame([("d.b", 7)], "table_id string, version bigint")).cache()
+    assert sorted((r["table_id"], r["version"], r["embedding"] is None) for r in first.collect()) == [
+        ("d.a", 1, False), ("d.a", 2, True), ("d.a", 3, False), ("d.b", 8, False)]
+    asked = spark.createDataFrame([("d.a",), ("d.x",)], "table_id string")
+    found = memory.prior_understandings(asked, first)
+    assert "embedding" not in found.columns
+    assert sorted((r["asked_table_id"], r["rank"]) for r in found.collect()) == [
+        (t, i) for t in ("d.a", "d.x") for i in (1, 2, 3)]
+
+    def away():
+        def fail(texts):
+            raise RuntimeError("away")
+        return fail
+
+    warned = memory.prior_understandings(asked, first, away).collect()
+    assert {(r["asked_table_id"], r["warning"]) for r in warned} == {
+        ("d.a", "vector search unavailable: away"), ("d.x", "vector search unavailable: away")}
+
+
 def test_embedded_texts(spark):
     known = spark.createDataFrame([("d.t", "meters"), ("d.u", None)], "table_id string, business_description string")
     assert [r["embedding_text"] for r in embedding.understanding_texts(known).collect()] == ["d.t: meters", "d.u: "]
