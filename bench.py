@@ -21,10 +21,11 @@ from plumbline.workload import table  # noqa: E402
 
 
 def _many_metrics(df):
-    """Forty-four metrics of a table: count, nulls and bounds of every column."""
+    """Forty-four metrics of a table: count, nulls and bounds of every column, of texts their lengths."""
     metrics = []
-    for c in df.columns:
-        metrics += [F.count(c), F.count_if(F.col(c).isNull()), F.min(c).cast("string"), F.max(c).cast("string")]
+    for c, kind in df.dtypes:
+        value = F.length(c) if kind == "string" else F.col(c)
+        metrics += [F.count(c), F.count_if(F.col(c).isNull()), F.min(value), F.max(value)]
     return [m.alias(f"m{i}") for i, m in enumerate(metrics)]
 
 

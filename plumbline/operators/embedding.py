@@ -11,7 +11,6 @@ from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DIMENSIONS = 1024  # fixed value: the published size of stored embeddings
 SPREAD = 0.1  # fixed value: seeded vectors lie in [-0.1, 0.1]
@@ -32,33 +31,30 @@ def embed(
     """Add a vector per row.  ``load`` runs once per task and gives the batch function.
 
     A batch that fails leaves null vectors and its message in ``embedding_error``;
-    null texts have neither.  Only the text crosses into Python beside the row.
+    null texts have neither.  Only the text crosses into Python.
     """
-    schema = T.StructType(
-        df.schema.fields
-        + [T.StructField(output, T.ArrayType(T.FloatType())), T.StructField("embedding_error", T.StringType())]
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("vector array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         embed_batch = load()
-        for rows in batches:
-            for start in range(0, len(rows), batch_rows):
-                part = rows.iloc[start:start + batch_rows].copy()
-                vectors: list[object] = [None] * len(part)
-                errors: list[str | None] = [None] * len(part)
-                at = [i for i, t in enumerate(part[text]) if isinstance(t, str)]
+        for texts in batches:
+            vectors: list[np.ndarray | None] = [None] * len(texts)
+            errors: list[str | None] = [None] * len(texts)
+            given = [i for i, t in enumerate(texts) if isinstance(t, str)]
+            for start in range(0, len(given), batch_rows):
+                at = given[start:start + batch_rows]
                 try:
-                    for i, v in zip(at, embed_batch([part[text].iloc[i] for i in at]), strict=True):
+                    made = embed_batch([texts.iloc[i] for i in at])
+                    for i, v in zip(at, made, strict=True):
                         vectors[i] = np.asarray(v, dtype=np.float32)
-                except Exception as error:  # a model may raise anything; the row carries it
-                    vectors = [None] * len(part)
+                except Exception as error:  # a model may raise anything; the rows carry it
                     for i in at:
-                        errors[i] = str(error)
-                part[output] = vectors
-                part["embedding_error"] = errors
-                yield part
+                        vectors[i], errors[i] = None, str(error)
+            yield pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    return df.mapInPandas(run, schema)
+    return (
+        df.withColumn("_made", run(F.col(text)))
+        .select(*df.columns, F.col("_made.vector").alias(output), F.col("_made.error").alias("embedding_error"))
+    )
 
 
 def hashed_features(df: DataFrame, text: str, *, output: str = "embedding", dims: int = DIMENSIONS) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import banded, count_all, moment, share, zero_is_pass
+from ..functions.columns import banded, count_all, minutes_between, moment, share, zero_is_pass
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def freshness(
 ) -> DataFrame:
     """Latest timestamp and its lag behind ``as_of`` in whole minutes, with a verdict."""
     latest = df.agg(F.max(ts).cast("timestamp_ntz").alias("latest"))
-    lag = F.timestamp_diff("MINUTE", F.col("latest"), moment(as_of))
+    lag = minutes_between("latest", moment(as_of))
     verdict = F.when(F.col("latest").isNull(), "fail").otherwise(
         banded("lag_minutes", pass_hours * 60, warn_hours * 60)
     )

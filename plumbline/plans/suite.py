@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.columns import count_all, moment
+from ..functions.columns import count_all, minutes_between, moment
 from ..operators import groups
 from ..operators.profile import RangeRule, union_all
 from . import guard
@@ -96,7 +96,7 @@ def _scalar(spec: CheckSpec, as_of: str) -> tuple[Column, Callable[[Column], Col
         return count_all(), lambda v: v
     (name,) = spec.columns
     if spec.kind == "freshness":
-        return F.max(name).cast("timestamp_ntz"), lambda v: F.timestamp_diff("MINUTE", v, moment(as_of))
+        return F.max(name).cast("timestamp_ntz"), lambda v: minutes_between(v, moment(as_of))
     if spec.kind == "nulls":
         return F.count_if(F.col(name).isNull()), lambda v: v
     if spec.kind == "range":

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import count_all
+from ..functions.columns import count_all, day
 from ..functions.ordering import split_previous
 from ..operators import runs
 from ..session import shared_folder
@@ -130,13 +130,14 @@ def drain_status_changes(
 def rows_by_day(events: DataFrame, ts: str, late: str | None = None) -> DataFrame:
     """Row counts per day, kept up to date.  Output mode: update.
 
-    One state row per day.  ``late`` (such as "1 hour") sets a watermark and
-    lets days be forgotten; rows later than that are then not counted.  Zone-less
-    times are read in the session time zone, which has to be UTC.
+    One state row per day, kept for ever.  ``late`` (such as "1 hour") sets a
+    watermark and lets days be forgotten; rows later than that are then not
+    counted, and zone-less times are read in the session time zone, which has
+    to be UTC, because a watermark needs times with a zone.
     """
-    at = events.withColumn("_at", F.col(ts).cast("timestamp"))
-    if late:
-        at = at.withWatermark("_at", late)
+    if late is None:
+        return events.groupBy(day(ts).alias("day")).agg(count_all().alias("n"), F.max(ts).alias("latest"))
+    at = events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
     return (
         at.groupBy(F.window("_at", "1 day").alias("_day"))
         .agg(count_all().alias("n"), F.max("_at").alias("latest"))

@@ -10,8 +10,12 @@ from pyspark.sql import types as T
 
 from ..session import shared_folder
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on disk, of which a batch uploads the changes and not a snapshot.
+_STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def open_stream(
@@ -32,16 +36,18 @@ def open_stream(
 
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """State on disk for queries started inside; large and custom state needs it."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    """Queries started inside keep their state in RocksDB; large state needs it."""
+    before = {name: spark.conf.get(name, None) for name in _STATE_SETTINGS}
+    for name, value in _STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def rows_path(folder: str) -> str:
