@@ -4,7 +4,7 @@ A plain window over ``partitionBy(key)`` puts a whole key into one task, and
 cutting keys by day only helps until one day is hot.  Here the rows are first
 laid out in slices of even size along (key, order), by Spark's own sampled
 range partitioning, and written to the shared folder, so that every reader sees
-the same cut.  Windows run inside (key, slice).  What a slice must know of the
+the same cut.  Work goes on inside (key, slice).  What a slice must know of the
 ones before it travels through a frame with one row per (key, slice).
 
 ``order`` must be total within a key; only then can any group be cut.  ``keys``
@@ -23,16 +23,25 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from .columns import count_all
 
-_SLICE = "_slice"
+_SLICE, _ROW = "_slice", "_row"
 
 
-def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
-    """Write ``df`` in even slices along (keys, order) and read it back with its slice number."""
+def lay_out(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None, numbered: bool = False
+) -> DataFrame:
+    """Write ``df`` in even slices along (keys, order) and read it back with its slice number.
+
+    ``numbered`` sorts the slices and adds ``_row``, which counts up by one
+    along a slice.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark, "slices")
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A number given outright is kept as it is at run time, so the id of a partition is its rank.
-    sliced = df.repartitionByRange(n, *keys, *order).withColumn(_SLICE, F.spark_partition_id())
+    sliced = df.repartitionByRange(n, *keys, *order)
+    if numbered:
+        sliced = sliced.sortWithinPartitions(*keys, *order).withColumn(_ROW, F.monotonically_increasing_id())
+    sliced = sliced.withColumn(_SLICE, F.spark_partition_id())
     sliced.write.parquet(folder)
     return spark.read.schema(sliced.schema).parquet(folder)
 
@@ -46,18 +55,24 @@ def split_position(
     ``base`` (keys, size) counts rows that come before all of ``df``; positions
     go on from there.
     """
-    laid = lay_out(df, keys, order, slices)
-    sizes = laid.groupBy(*keys, _SLICE).agg(count_all().alias("_size"))
+    laid = lay_out(df, keys, order, slices, numbered=True)
+    sizes = laid.groupBy(*keys, _SLICE).agg(count_all().alias("_size"), F.min(_ROW).alias("_first"))
     if base is not None:
-        sizes = sizes.unionAll(base.select(*keys, F.lit(-1).alias(_SLICE), F.col("size").cast("bigint").alias("_size")))
+        sizes = sizes.unionAll(
+            base.select(
+                *keys, F.lit(-1).alias(_SLICE), F.col("size").cast("bigint").alias("_size"),
+                F.lit(0).cast("bigint").alias("_first"),
+            )
+        )
     before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*keys, _SLICE, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy(*keys, _SLICE).orderBy(*order))
+    # What to add to the number of a row to get its position.
+    shifts = sizes.select(
+        *keys, _SLICE, (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")
+    )
     return (
-        laid.withColumn("_inside", inside)
-        .join(starts, [*keys, _SLICE], "left")
-        .withColumn(name, F.col("_start") + F.col("_inside"))
-        .drop(_SLICE, "_inside", "_start")
+        laid.join(shifts, [*keys, _SLICE], "left")
+        .withColumn(name, F.col(_ROW) + F.col("_shift"))
+        .drop(_SLICE, _ROW, "_shift")
     )
 
 

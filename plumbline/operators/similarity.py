@@ -256,16 +256,12 @@ def _topk_cells(
         return pd.DataFrame({"query_id": out_q, "match_id": out_c, "similarity": out_s})
 
     found = left.groupBy(*block_key).cogroup(right.groupBy(*block_key)).applyInPandas(score_block, schema)
-    # Rows without a score fill up what k scored rows leave open.
-    silent = [
-        r["id"] for r in corpus.where(~F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False)))
-        .select("id").orderBy("id").limit(k).collect()
-    ]
     has_length = F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
-    parts = found
-    if silent and sizes.sum() < k:
+    parts = found.unionAll(_unscored(queries.where(~has_length), lowest, schema))
+    if sizes.sum() < k:
+        # Rows without a score fill up what fewer than k scored rows leave open.
+        silent = [r["id"] for r in corpus.where(~has_length).select("id").orderBy("id").limit(k).collect()]
         parts = parts.unionAll(_unscored(queries.where(has_length), silent, schema))
-    parts = parts.unionAll(_unscored(queries.where(~has_length), lowest, schema))
     return _ranked(parts, k)
 
 
