@@ -52,18 +52,18 @@ def sql_audit(df: DataFrame, sql: str = "sql", strict: bool = False) -> DataFram
         head = F.regexp_replace(bare, rf"\A(?:{_SPACE}|\()+", "")
         trimmed = F.regexp_replace(text, rf"(?:{_SPACE}|;)+\z", "")
         limited = bare.rlike(r"(?i)\blimit\b")
-        glue = "\nLIMIT "
+        joint = "\nLIMIT "
     else:
         bare, head = text, text
         trimmed = strip_end(F.regexp_replace(text, r";+\z", ""))
         limited = F.lower(trimmed).contains("limit")
-        glue = " LIMIT "
+        joint = " LIMIT "
     verb = F.upper(F.regexp_extract(head, _READ, 1))
     forbidden = bare.rlike(_FORBIDDEN)
     not_read = verb == ""
     reason = F.when(forbidden, REASON_FORBIDDEN).when(not_read, REASON_NOT_READ)
     needs_limit = verb.isin(*LIMITED_VERBS) & ~limited
-    cleaned = F.when(needs_limit, F.concat(trimmed, F.lit(f"{glue}{DEFENSIVE_LIMIT}"))).otherwise(trimmed)
+    cleaned = F.when(needs_limit, F.concat(trimmed, F.lit(f"{joint}{DEFENSIVE_LIMIT}"))).otherwise(trimmed)
     return (
         df.withColumn("ok", ~(forbidden | not_read))
         .withColumn("reason", reason)
