@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup
+from plumbline.session import shared_folder
+
+from . import exact_dedup, license_search, near_dedup, quality, sanitise, secret_ledger
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +30,41 @@ def query(sql: str | None = None):
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("lane0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return secret_ledger.digests(secret_ledger.scan(versions, shared_folder(spark, "llm-ledger")))
+
+
+@query()
+def op3_license_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_search.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("""
+WITH flat AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body
+    FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER (PARTITION BY body ORDER BY length(text) DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY body) AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY body ORDER BY length(text) DESC, doc_id) AS kept,
+       sha256(body) AS text_sha256
+FROM flat
+""")
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digests(sanitise.scan(table(spark, sf_dir, "documents")))
