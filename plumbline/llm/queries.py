@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import shared_folder
 
-from . import exact_dedup, license_search, near_dedup, quality, sanitise, secret_ledger
+from . import exact_dedup, license_search, near_dedup, quality, sanitise, secret_ledger, token_store
 from .common import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -68,3 +71,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.digests(sanitise.scan(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op10_wavelet_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.encoded(table(spark, sf_dir, "documents"), TOKENIZER)
