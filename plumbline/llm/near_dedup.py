@@ -32,7 +32,8 @@ class Plan:
     """How fingerprints are made and compared.
 
     ``groups`` holds byte positions (0 is the lowest byte of the first lane); a posting is
-    ``posting_bytes`` of one group.  Pairs that share ``min_shared`` bytes are certain to meet.
+    ``posting_bytes`` of one group.  Pairs that share ``guaranteed`` bytes are certain to meet;
+    a tally below ``least_shared`` (else below that guarantee) is dropped.
     """
 
     words: int
@@ -40,11 +41,16 @@ class Plan:
     groups: tuple[tuple[int, ...], ...]
     posting_bytes: int
     max_bits: int
+    least_shared: int | None = None
 
     @property
-    def min_shared(self) -> int:
+    def guaranteed(self) -> int:
         return len(self.groups) * (self.posting_bytes - 1) + 1
 
+    @property
+    def min_shared(self) -> int:
+        return self.guaranteed if self.least_shared is None else self.least_shared
+
     @property
     def postings(self) -> list[tuple[int, ...]]:
         return [c for g in self.groups for c in combinations(g, self.posting_bytes)]

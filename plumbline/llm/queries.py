@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import shared_folder
 
-from . import exact_dedup, license_search, near_dedup, quality, sanitise, secret_ledger, token_store
+from . import exact_dedup, license_search, mixing, near_dedup, nearest, packing, quality, sanitise, secret_ledger, token_store
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,11 +63,27 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 @query()
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@query()
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.where("vec_id % 20 = 0")).drop("verified")
+
+
 @query()
 def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.digests(sanitise.scan(table(spark, sf_dir, "documents")))
