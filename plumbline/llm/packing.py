@@ -162,7 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = EN
     """(doc_id, piece, start, length, ids_crc32): every row's ids with the end id, cut from the end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, 64):
+        for batch in slices(batches):
             rows = []
             for doc, raw in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch.column(1)))):
                 raw += end

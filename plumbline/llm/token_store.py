@@ -151,7 +151,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_O
         from pyspark import TaskContext
 
         encoder, part, number = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        bits, end = (len(encoder.starts) - 1).bit_length(), np.array([end_id], dtype="<u4").tobytes()
+        bits, end = (encoder.size - 1).bit_length(), np.array([end_id], dtype="<u4").tobytes()
         ids, own, total = [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -166,7 +166,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_O
                 ("n_tokens", pa.int64()), ("planes", pa.list_(pa.binary())), ("blocks", pa.list_(pa.binary())),
             ]))
 
-        for batch in slices(batches, 64):
+        for batch in slices(batches):
             for doc, raw in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch.column(1)))):
                 own.append(doc)
                 ids.append(raw + end)

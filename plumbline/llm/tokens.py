@@ -1,39 +1,51 @@
 """Token ids of whole texts, with a memory of pieces.
 
-A byte-level BPE never merges across a blank that stands alone between two words: the
-blank starts the next piece.  So a text is cut at such blanks, each distinct piece goes
-through the tokenizers library once per worker while it is remembered, and the ids of a
-text are its pieces' ids in a row.
+A byte-level BPE never merges across a blank that stands alone between two words (the blank
+starts the next piece), across a line feed that does, or between letters and the signs after
+them.  So a text is cut at such places, each distinct piece goes through the tokenizers
+library once per worker while it is remembered, and the ids of a text are its pieces' ids in
+a row.
 """
 
 from __future__ import annotations
 
-import re
+import os
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 #: A blank between two characters that are no white space.
-_CUT = re.compile(r" (?<=\S )(?=\S)")
+_CUT = regex.compile(r" (?<=\S )(?=\S)")
+#: Letters, and signs after them.
+_SIGNED = regex.compile(r"(\n?\p{L}+)([^\s\p{L}\p{N}]+)")
 #: Pieces of a generation of the memory, letters of a piece worth keeping, pieces of one call.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 LONG = 100
-TOGETHER = 4_000
+TOGETHER = 200
 
 
 class Encoder:
-    """Encodes texts as little-endian unsigned 32-bit ids; one per Python worker."""
+    """Encodes texts as little-endian unsigned 32-bit ids; one per Python worker.
+
+    A remembered piece has a blank before it unless it starts with a line feed.
+    """
 
     _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.starts = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.starts[i] = token.startswith("Ġ")
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = {" ": np.zeros(self.tokenizer.get_vocab_size(), dtype=bool), "\n": np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)}
+        for token, i in vocabulary.items():
+            self.starts[" "][i] = token.startswith("Ġ")
+            self.starts["\n"][i] = token.startswith("Ċ")
+        self.size = self.tokenizer.get_vocab_size()
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -44,45 +56,82 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces without blanks, each with a blank before it."""
-        for start in range(0, len(pieces), TOGETHER):
-            some = pieces[start:start + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            at = np.flatnonzero(self.starts[ids])
+    def _piece(self, piece: str) -> bytes:
+        return self.plain(piece if piece.startswith("\n") else " " + piece)
+
+    def _together(self, pieces: list[str], lead: str) -> None:
+        """Remember pieces that all start with ``lead``; the first id of each tells where it starts."""
+        lines = ["".join([p if lead == "\n" else " " + p for p in pieces[i:i + TOGETHER]]) for i in range(0, len(pieces), TOGETHER)]
+        for i, found in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            some, ids = pieces[i * TOGETHER:(i + 1) * TOGETHER], np.array(found.ids, dtype="<u4")
+            at = np.flatnonzero(self.starts[lead][ids])
             if len(at) != len(some):
-                self.now.update((p, self.plain(" " + p)) for p in some)
+                self.now.update((p, self._piece(p)) for p in some)
                 continue
             raw, ends = ids.tobytes(), [*(4 * at).tolist()[1:], 4 * len(ids)]
             self.now.update((p, raw[a:b]) for p, a, b in zip(some, (4 * at).tolist(), ends))
 
+    def _signs(self, signs: str) -> bytes:
+        if signs not in self.signs:
+            if len(self.signs) > REMEMBERED:
+                self.signs.clear()
+            self.signs[signs] = self.plain(signs)
+        return self.signs[signs]
+
+    def _learn(self, missing: set[str]) -> set[str]:
+        """Remember pieces; those that may depend on what stands around them are returned instead."""
+        loose, signed, new = set(), [], set()
+        for p in missing:
+            line = p[:1] == "\n"
+            body = p[1:] if line else p
+            if not body or body[0].isspace() or body[-1].isspace():
+                loose.add(p)
+            elif p in self.before:
+                self.now[p] = self.before[p]
+            elif m := _SIGNED.fullmatch(p):
+                signed.append((p, m[1], m[2]))
+                if m[1] not in self.now:
+                    new.add(m[1])
+            else:
+                new.add(p)
+        for p in [p for p in new if p in self.before]:
+            self.now[p] = self.before[p]
+            new.discard(p)
+        self._together([p for p in new if p[0] != "\n"], " ")
+        self._together([p for p in new if p[0] == "\n"], "\n")
+        self.now.update((p, self.now[letters] + self._signs(signs)) for p, letters, signs in signed)
+        return loose
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if len(self.now) > REMEMBERED:
             self.now, self.before = {}, self.now
-        cut = [t.split(" ") for t in texts]
-        missing = set().union(*(c[1:] for c in cut)).difference(self.now)
-        # Empty pieces and pieces with white space at an end stand beside blanks that are not alone.
-        loose = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
-        new = []
-        for p in missing - loose:
-            if p in self.before:
-                self.now[p] = self.before[p]
-            else:
-                new.append(p)
-        self._learn(new)
+        now, rows, missing = self.now, [], set()
+        for text in texts:
+            pieces = text.replace("\n", " \n").split(" ")
+            ids = list(map(now.get, pieces))
+            ids[0] = b""
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            missing.update([pieces[i] for i in gaps])
+            rows.append((pieces, ids, gaps))
+        loose = self._learn(missing)
         out = []
-        for text, pieces in zip(texts, cut):
-            first, *rest = pieces
-            if first[-1:].isspace() or (not first and rest) or (loose and not loose.isdisjoint(rest)):
+        for text, (pieces, ids, gaps) in zip(texts, rows):
+            first = pieces[0]
+            own = [pieces[i] for i in gaps]
+            if first[-1:].isspace() or (not first and len(pieces) > 1) or (loose and not loose.isdisjoint(own)):
                 out.append(self._loose(text))
-            else:
-                out.append(self.plain(first) + b"".join(map(self.now.__getitem__, rest)))
-        for p in new:
+                continue
+            for i, p in zip(gaps, own):
+                ids[i] = now[p]
+            out.append((self.plain(first) if first else b"") + b"".join(ids))
+        for p in missing:
             if len(p) > LONG:
-                del self.now[p]
+                now.pop(p, None)
         return out
 
     def _loose(self, text: str) -> bytes:
         first, *rest = _CUT.split(text)
-        return self.plain(first) + b"".join([self.now.get(p) or self.plain(" " + p) for p in rest])
+        return self.plain(first) + b"".join([
+            (None if p.startswith("\n") else self.now.get(p)) or self.plain(" " + p) for p in rest
+        ])

@@ -15,7 +15,8 @@ SCHEMA = "doc_id long, text string"
 ODD = [
     "", " ", "a", " a", "a ", "a  b", "a \n b", "\n a", "a\n", "a\nb c", "don't 's 't x's", " 's", "x  ", " a 　b c", "a  b",
     "\x1c a b\x1d c", "<|endoftext|> x <|endoftext|>", "1 22 333 é ß 漢字 漢 字", "a | b | c", "tab\t b", "z" * 5000 + " y", "a " * 300, "\r\n \r\n x",
-    "Ġ Ġa b", "😀 😀x",
+    "Ġ Ġa b", "😀 😀x", "a.\nB c,\nd", "a\n\nb", "a \nb", "\nab", "x\n y", "don't,\n's, a²; ½. b's.", "q\n\tr", "w!?\nw!? w!?", "a\r\nb", "é́. b",
+    "x \u2028y z", "n\x85m o",
 ]
 
 
