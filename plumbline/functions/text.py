@@ -24,7 +24,8 @@ _SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}
 _FORBIDDEN = r"(?i)\b(" + "|".join(FORBIDDEN_WORDS) + r")\b"
 _READ = r"(?i)\A" + _SPACE + r"*(" + "|".join(READ_VERBS) + r")\b"
 # strict mode: literals and comments are no SQL words.
-_LITERALS = r"(?s)'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/"
+# No alternation is repeated per character: the JVM's engine recurses there and long texts overflow its stack.
+_LITERALS = r"(?s)'[^']*+(?:''[^']*+)*+'|\"[^\"]*+(?:\"\"[^\"]*+)*+\"|--[^\n]*+|/\*.*?\*/"
 
 
 def strip(value: ColumnLike) -> Column:
@@ -49,8 +50,8 @@ def sql_audit(df: DataFrame, sql: str = "sql", strict: bool = False) -> DataFram
     text = F.coalesce(F.col(sql), F.lit(""))
     if strict:
         bare = F.regexp_replace(text, _LITERALS, " ")
-        head = F.regexp_replace(bare, rf"\A(?:{_SPACE}|\()+", "")
-        trimmed = F.regexp_replace(text, rf"(?:{_SPACE}|;)+\z", "")
+        head = F.regexp_replace(bare, rf"\A[{_SPACE}(]++", "")
+        trimmed = F.regexp_replace(text, rf"(?<![{_SPACE};])[{_SPACE};]++\z", "")
         limited = bare.rlike(r"(?i)\blimit\b")
         joint = "\nLIMIT "
     else:
@@ -149,7 +150,7 @@ def explode_ids(df: DataFrame, ids: str) -> DataFrame:
 
     Adds ``position`` (from 0), ``table_id`` and ``short_name``, its last dotted part.
     """
-    items = F.filter(F.split(F.col(ids), rf"(?:{_SPACE}|[,;])+"), lambda x: x != "")
+    items = F.filter(F.split(F.col(ids), rf"[{_SPACE},;]++"), lambda x: x != "")
     return df.select("*", F.posexplode(items).alias("position", "table_id")).withColumn(
         "short_name", F.element_at(F.split("table_id", r"\."), -1)
     )

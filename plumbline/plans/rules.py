@@ -24,15 +24,16 @@ def bands(spark: SparkSession, rows: tuple[tuple, ...] = DEFAULT_BANDS) -> DataF
 
 
 def findings(evidence: DataFrame, thresholds: DataFrame, digits: int = 6) -> DataFrame:
-    """A finding per judged check.
+    """A finding per check.
 
-    Kinds without bounds give no finding.  A check that ran but observed
-    nothing fails for freshness (an empty table) and warns otherwise; one that
-    could not run warns.
+    A check that could not run warns.  One that ran passes if its kind has no
+    bounds; if it observed nothing it fails for freshness (an empty table) and
+    warns otherwise.
     """
     observed, ran = F.col("observed"), F.col("status") == "ok"
     severity = (
         F.when(~ran, "warn")
+        .when(F.col("pass_to").isNull(), "pass")
         .when(observed.isNull() & (F.col("kind") == "freshness"), "fail")
         .when(observed.isNull(), "warn")
         .when(observed <= F.col("pass_to"), "pass")
@@ -41,14 +42,16 @@ def findings(evidence: DataFrame, thresholds: DataFrame, digits: int = 6) -> Dat
     )
     value = F.coalesce(F.format_string(f"%.{digits}f", observed), F.lit("nothing"))
     text = F.when(
+        ran & F.col("pass_to").isNull(), F.concat(F.col("kind"), F.lit(": no bounds"))
+    ).when(
         ran, F.concat(F.col("measured"), F.lit(": "), value, F.lit(" (passes up to "),
                       F.format_string(f"%.{digits}f", F.col("pass_to")), F.lit(")"))
     ).otherwise(F.concat(F.lit("not run: "), F.col("status")))
-    return evidence.join(thresholds, "kind").select(
+    return evidence.join(thresholds, "kind", "left").select(
         F.concat(F.col("check_name"), F.lit(": "), severity).alias("title"),
         severity.alias("severity"),
         text.alias("evidence"),
-        F.when(severity == "pass", "no action").otherwise(F.col("action")).alias("recommended_action"),
+        F.when(severity == "pass", "no action").otherwise(F.coalesce("action", F.lit("see why the check did not run"))).alias("recommended_action"),
         F.col("check_id").alias("related_check"),
         F.col("target_table").alias("related_table"),
     )

@@ -102,14 +102,15 @@ _BANDS_SQL = ", ".join(f"('{k}', {p}::DOUBLE, {w}::DOUBLE, '{m}', '{a}')" for k,
 @query(f"""
     WITH {EVIDENCE_SQL}, bands(kind, pass_to, warn_to, measured, action) AS (VALUES {_BANDS_SQL}),
     j AS (SELECT e.*, b.pass_to, b.measured, b.action,
-                 CASE WHEN status <> 'ok' THEN 'warn' WHEN observed IS NULL AND e.kind = 'freshness' THEN 'fail'
+                 CASE WHEN status <> 'ok' THEN 'warn' WHEN pass_to IS NULL THEN 'pass' WHEN observed IS NULL AND e.kind = 'freshness' THEN 'fail'
                       WHEN observed IS NULL THEN 'warn' WHEN observed <= pass_to THEN 'pass'
                       WHEN observed <= warn_to THEN 'warn' ELSE 'fail' END AS severity
-          FROM evidence e JOIN bands b ON e.kind = b.kind)
+          FROM evidence e LEFT JOIN bands b ON e.kind = b.kind)
     SELECT concat(kind, ' of ', target_table, ': ', severity) AS title, severity,
-           CASE WHEN status = 'ok' THEN concat(measured, ': ', printf('%.6f', observed), ' (passes up to ',
+           CASE WHEN status = 'ok' AND pass_to IS NULL THEN concat(kind, ': no bounds')
+                WHEN status = 'ok' THEN concat(measured, ': ', printf('%.6f', observed), ' (passes up to ',
                 printf('%.6f', pass_to), ')') ELSE concat('not run: ', status) END AS evidence,
-           CASE WHEN severity = 'pass' THEN 'no action' ELSE action END AS recommended_action,
+           CASE WHEN severity = 'pass' THEN 'no action' ELSE coalesce(action, 'see why the check did not run') END AS recommended_action,
            check_id AS related_check, target_table AS related_table
     FROM j
 """)

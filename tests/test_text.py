@@ -104,3 +104,16 @@ def test_explode_ids(spark):
     rows = spark.createDataFrame([(1, " a.b, c;d.e.f\n\tg ,;"), (2, ""), (3, None)], "i int, ids string")
     found = text.explode_ids(rows, "ids").orderBy("position").collect()
     assert [(r["table_id"], r["short_name"]) for r in found] == [("a.b", "b"), ("c", "c"), ("d.e.f", "f"), ("g", "g")]
+
+
+def test_long_texts_do_not_overflow_the_engine(spark):
+    long = [
+        "SELECT '" + "x" * 100_000 + "' AS a", "SELECT a /* " + "y" * 100_000 + " */ FROM t", "SELECT a -- " + "z" * 100_000,
+        "(" * 100_000 + "SELECT 1", "SELECT 1" + " ;" * 50_000, "SELECT 1" + " " * 100_000 + "x", 'SELECT "' + "q" * 100_000 + '"',
+    ]
+    from plumbline.functions.text import explode_ids, sql_audit
+
+    audited = sql_audit(spark.createDataFrame([(t,) for t in long], "sql string"), strict=True)
+    assert {r.ok for r in audited.collect()} == {True}
+    ids = explode_ids(spark.createDataFrame([("a.b" + " " * 100_000 + "c.d",)], "ids string"), "ids").collect()
+    assert [(r.position, r.table_id, r.short_name) for r in ids] == [(0, "a.b", "b"), (1, "c.d", "d")]
