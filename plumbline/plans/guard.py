@@ -57,8 +57,8 @@ def scan_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def collect_guarded(df: DataFrame, *, limit: int, timeout_seconds: float = TIMEOUT_SECONDS) -> Outcome:
-    """At most ``limit`` rows; jobs still running at the timeout are cancelled."""
+def collect_guarded(df: DataFrame, *, limit: int, timeout_seconds: float | None = TIMEOUT_SECONDS) -> Outcome:
+    """At most ``limit`` rows; jobs still running at the timeout (if there is one) are cancelled."""
     context = df.sparkSession.sparkContext
     group = f"plumbline-{uuid.uuid4().hex}"
     outcome = Outcome("timeout")

@@ -42,7 +42,7 @@ def specs_from(suggestions: DataFrame) -> list[CheckSpec]:
 def quality_run(
     spark: SparkSession, tables: Mapping[str, DataFrame], *, run_id: str, as_of: str,
     specs: Sequence[CheckSpec] | None = None, understandings: DataFrame | None = None, store: str | None = None,
-    limit: int = suggest.TARGET_CHECKS, timeout_seconds: float = guard.TIMEOUT_SECONDS,
+    limit: int = suggest.TARGET_CHECKS, timeout_seconds: float | None = None,
 ) -> RunResult:
     """Check ``tables`` as of a moment and keep the outcome.
 

@@ -176,13 +176,14 @@ def evidence(
 
 def run_suite(
     spark: SparkSession, tables: Mapping[str, DataFrame], specs: Sequence[CheckSpec], as_of: str, *,
-    timeout_seconds: float = guard.TIMEOUT_SECONDS,
+    timeout_seconds: float | None = None, sql_timeout_seconds: float = guard.TIMEOUT_SECONDS,
 ) -> DataFrame:
     """Run every check and keep the outcome of each, whatever happens to the others.
 
     Checks of one scan that fail together are run again one by one, so that
-    only those that really fail are recorded as such.  SQL checks (kind
-    ``sql``) pass the read-only audit first.
+    only those that really fail are recorded as such; a timeout is recorded
+    for all of them and starts no further jobs.  SQL checks (kind ``sql``)
+    pass the read-only audit first and have a timeout of their own.
     """
     records: list[tuple] = []
 
@@ -198,12 +199,12 @@ def run_suite(
         outcome = guard.collect_guarded(frame, limit=len(group), timeout_seconds=timeout_seconds)
         if outcome.status == "ok":
             records += [tuple(r) for r in outcome.rows]
-        elif len(group) > 1:
+        elif len(group) > 1 and outcome.status == "failed":
             queue = [([s], _fused(tables[s.target_table], [s], as_of)) for s in group] + queue
         else:
-            records.append(record(group[0], outcome.status, outcome.error))
+            records += [record(s, outcome.status, outcome.error) for s in group]
     for spec in text_checks:
-        result = guard.run_sql(spark, spec.sql or "", timeout_seconds=timeout_seconds)
+        result = guard.run_sql(spark, spec.sql or "", timeout_seconds=sql_timeout_seconds)
         sample = None if result.sample is None else [str(r) for r in result.sample]
         records.append(
             (spec.id, spec.title, spec.kind_category, spec.target_table, spec.kind, result.status,

@@ -149,3 +149,19 @@ def test_a_whole_run_is_kept(spark, sf_dir, tmp_path):
     found = spark.read.parquet(f"{store}/findings")
     assert sum(rollups[0][s] for s in ("pass", "warn", "fail")) == found.where("run_id = 'r1'").count()
     assert spark.read.parquet(f"{store}/report_lines").where("run_id = 'r2' AND section = 1").count() == 1
+
+
+def test_a_timeout_starts_no_further_jobs(spark, monkeypatch):
+    from plumbline.plans import guard, suite
+
+    calls = []
+
+    def stopped(frame, *, limit, timeout_seconds):
+        calls.append(limit)
+        return guard.Outcome("timeout", error="stopped")
+
+    monkeypatch.setattr(guard, "collect_guarded", stopped)
+    table = spark.createDataFrame([(1, 2)], "a int, b int")
+    specs = [suite.CheckSpec(c, "t.x", "nulls", (c,)) for c in ("a", "b")]
+    got = suite.run_suite(spark, {"t.x": table}, specs, "2024-01-31 09:00:00", timeout_seconds=1).collect()
+    assert len(calls) == 1 and [r.status for r in got] == ["timeout", "timeout"]
