@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import shared_folder
@@ -68,8 +68,3 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         parted.withColumn("_inside", inside).join(shifts, cells)
         .withColumn("rank", F.col("_shift") + F.col("_inside")).drop("_part", "_inside", "_shift")
     )
-
-
-def first_of_each(df: DataFrame, key: str, column: Column) -> DataFrame:
-    """One value of ``column`` for each ``key``: the smallest."""
-    return df.groupBy(key).agg(F.min(column).alias("first"))
