@@ -25,6 +25,8 @@ from .components import components
 SEED = 42
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
+#: Lists of so many fingerprints are first linked to a few of their own.
+CROWD = 32
 
 
 @dataclass(frozen=True)
@@ -129,52 +131,99 @@ def _first_posting(plan: Plan, lane: int) -> Column:
     return F.array(*[F.lit(x).cast("int") for x in first])
 
 
-def candidate_links(classes: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of nodes whose fingerprints differ in at most ``max_bits`` bits, each pair once.
+def _postings(classes: DataFrame, plan: Plan) -> DataFrame:
+    """A row per class and posting."""
+    keys = F.array(*[_key(i, c) for i, c in enumerate(plan.postings)])
+    return classes.select(*classes.columns, F.posexplode(keys).alias("posting", "key"))
 
-    ``classes`` has one row per distinct fingerprint: ``node`` and its lanes.  Tally and
-    verification stand in the join condition, so no other pair leaves the join; AQE
-    splits the list of a posting that many fingerprints share.
-    """
-    lanes = [f"lane{i}" for i in range(plan.lanes)]
-    listed = classes.select(
-        "node", *lanes, F.posexplode(F.array(*[_key(i, c) for i, c in enumerate(plan.postings)])).alias("posting", "key")
+
+def _sides(listed: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The same rows as left and right side of pairs: ``node`` is a or b, other columns are prefixed."""
+    return tuple(
+        listed.select(F.col("node").alias(node), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        for node, side in (("a", "l"), ("b", "r"))
     )
-    left = listed.select(F.col("node").alias("a"), "posting", "key", *[F.col(n).alias(f"l_{n}") for n in lanes])
-    right = listed.select(F.col("node").alias("b"), F.col("key").alias("r_key"), *[F.col(n).alias(f"r_{n}") for n in lanes])
+
+
+def _compared(plan: Plan) -> tuple[Column, Column]:
+    """Of the two sides of a pair: whether tally and differing bits suffice, and the first shared posting."""
     tally, bits, first = F.lit(0), F.lit(0), []
-    for i, n in enumerate(lanes):
-        differing = F.col(f"l_{n}").bitwiseXOR(F.col(f"r_{n}"))
+    for i in range(plan.lanes):
+        differing = F.col(f"l_lane{i}").bitwiseXOR(F.col(f"r_lane{i}"))
         mask = F.lit(0)
         for b in range(8):
             same = F.shiftrightunsigned(differing, 8 * b).bitwiseAND(255) == 0
             mask = mask + F.when(same, 1 << b).otherwise(0)
         tally, bits = tally + F.bit_count(mask), bits + F.bit_count(differing)
         first.append(F.element_at(_first_posting(plan, i), mask + 1))
+    return (bits <= plan.max_bits) & (tally >= plan.min_shared), F.coalesce(*first)
+
+
+def crowd_links(classes: DataFrame, plan: Plan, crowd: int = CROWD) -> DataFrame:
+    """Those pairs of ``candidate_links`` that join members of a long list to one of its heads.
+
+    A list of ``crowd`` or more fingerprints has up to four heads: its ends by node and by a hash
+    of the node.  There are at most four pairs per row of the index, however long a list is, and
+    a large group of fingerprints that are close to each other is all but joined by them.
+    """
+    lanes = [f"lane{i}" for i in range(plan.lanes)]
+    listed = _postings(classes, plan).select("key", "node")
+    mixed = F.xxhash64("node")
+    heads = F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", mixed), F.max_by("node", mixed)))
+    long_lists = listed.groupBy("key").agg(F.count("*").alias("n"), heads.alias("heads")).where(F.col("n") >= crowd)
+    pairs = (
+        listed.join(long_lists.select("key", F.explode("heads").alias("head")), "key").where("node <> head")
+        .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    )
+    left, right = _sides(classes, *lanes)
+    return pairs.join(left, "a").join(right, "b").where(_compared(plan)[0]).select("a", "b")
+
+
+def candidate_links(classes: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots whose fingerprints differ in at most ``max_bits`` bits, each pair once.
+
+    ``classes`` has one row per distinct fingerprint: ``node``, its lanes and ``root`` (left out:
+    each is its own).  Roots, tally and verification stand in the join condition, so no other
+    pair leaves the join; AQE splits the list of a posting that many fingerprints share.
+    """
+    if "root" not in classes.columns:
+        classes = classes.withColumn("root", F.col("node"))
+    listed = _postings(classes, plan)
+    left, right = _sides(listed, *[c for c in listed.columns if c != "node"])
+    close, first = _compared(plan)
     met = (
-        (F.col("key") == F.col("r_key")) & (F.col("a") < F.col("b")) & (bits <= plan.max_bits)
-        & (tally >= plan.min_shared) & (F.coalesce(*first) == F.col("posting"))
+        (F.col("l_key") == F.col("r_key")) & (F.col("a") < F.col("b")) & (F.col("l_root") != F.col("r_root"))
+        & close & (first == F.col("l_posting"))
     )
-    return left.join(right, met).select("a", "b")
+    return left.join(right.drop("r_posting"), met).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None) -> DataFrame:
+def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: int = CROWD) -> DataFrame:
     """Fingerprint lanes and ``component_id`` of every row of ``docs`` (doc_id, text).
 
     Equal fingerprints are one class, whose node is its smallest doc_id: copies never
-    become pairs.  ``verify(docs, links)`` may drop links that a closer look does not
-    bear out.  A null text counts as empty, texts without words share fingerprint zero
-    and are linked like any other; repeated rows share their component; rows with a
-    null doc_id are returned, with the component of their class if that has any doc_id.
+    become pairs.  Large groups of close fingerprints do not either: lists of ``crowd`` and more
+    are linked to their heads first, and then only pairs that these links leave apart are looked
+    for, which gives the components of all links.  ``verify(docs, links)`` may drop links that a
+    closer look does not bear out.  A null text counts as empty, texts without words share
+    fingerprint zero and are linked like any other; repeated rows share their component; rows with
+    a null doc_id are returned, with the component of their class if that has any doc_id.
     Other columns of ``docs`` are ignored; an empty table gives an empty result.
     """
     lanes = [f"lane{i}" for i in range(plan.lanes)]
+
+    def borne_out(links: DataFrame) -> DataFrame:
+        return verify(docs, stored(links, "pairs")) if verify else links
+
     prints = stored(fingerprints(docs, plan), "prints")
     classes = stored(prints.groupBy(*lanes).agg(F.min("doc_id").alias("node")), "classes")
-    links = candidate_links(classes.where("node is not null"), plan)
-    if verify:
-        links = verify(docs, stored(links, "pairs"))
-    roots = components(links)
+    named = classes.where("node is not null")
+    crowds = components(borne_out(crowd_links(named, plan, crowd)))
+    grouped = stored(
+        named.join(crowds, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *lanes), "crowds"
+    )
+    links = borne_out(candidate_links(grouped, plan))
+    roots = components(links.union(crowds.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = classes.join(roots, "node", "left").select(
         *lanes, F.coalesce("root", "node").alias("component_id")
     )

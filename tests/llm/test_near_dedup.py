@@ -1,5 +1,7 @@
 """Fingerprints and components against brute force, and the odd rows."""
 
+import random
+
 import xxhash
 from pyspark.sql import functions as F
 
@@ -54,6 +56,43 @@ def test_every_pair_within_three_bits_meets(spark):
     }
 
 
+def test_a_large_group_of_near_copies_never_becomes_all_pairs(spark):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*words[:i % 120], f"x{i}", *words[i % 120 + 1:]]) for i in range(300)] + ["other words altogether"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    plan = near_dedup.Plan(words=5, lanes=1, groups=(tuple(range(8)),), posting_bytes=2, max_bits=20)
+    checked = []
+
+    def counted(docs, links):
+        checked.append(links.count())
+        return near_dedup.verified_by_shingles(5, 0.8)(docs, links)
+
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, plan, counted).collect()}
+    assert got == {**{i: 0 for i in range(300)}, 300: 300}
+    assert sum(checked) < 300 * 299 / 2 / 3
+    assert checked[1] < 300
+
+
+def test_heads_of_lists_change_no_component(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(200):
+        text = [f"{i % 4}{w}" for w in words]
+        for _ in range(rng.randrange(6)):
+            text[rng.randrange(60)] = f"x{rng.randrange(10)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan = near_dedup.Plan(words=5, lanes=1, groups=(tuple(range(8)),), posting_bytes=2, max_bits=14)
+    verify = near_dedup.verified_by_shingles(5, 0.6)
+    with_heads, without = (
+        {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, plan, verify, crowd).collect()}
+        for crowd in (2, 1000)
+    )
+    assert with_heads == without
+    assert 4 < len(set(without.values())) < 200
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (3, ""), (9, " \t\n"), (4, "One"), (6, "oNE"), (6, "oNE"), (None, "one"), (7, "word " * 200_000)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("lane0", F.lit("clash")).withColumn("component_id", F.lit(1.5))
