@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline.session import shared_folder
 
+#: Lets a query delete its shuffle files as soon as it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The white space of the contracts, one byte each.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -21,11 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a folder of its own below the shared root and read it back.
 
-    Cuts the lineage: what follows survives the loss of the executors that made it.
+    Cuts the lineage: what follows survives the loss of the executors that made it.  Nothing reads
+    the shuffles behind the table any more, so they are freed when it has been written, and chains of
+    such tables hold the shuffle files of one link at a time.
     """
-    path = shared_folder(df.sparkSession, f"llm-{label}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_folder(spark, f"llm-{label}"), spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
