@@ -162,14 +162,13 @@ def _compared(plan: Plan) -> tuple[Column, Column]:
 def crowd_links(classes: DataFrame, plan: Plan, crowd: int = CROWD) -> DataFrame:
     """Those pairs of ``candidate_links`` that join members of a long list to one of its heads.
 
-    A list of ``crowd`` or more fingerprints has up to four heads: its ends by node and by a hash
-    of the node.  There are at most four pairs per row of the index, however long a list is, and
-    a large group of fingerprints that are close to each other is all but joined by them.
+    A list of ``crowd`` or more fingerprints has two heads, the first by node and by a hash of the
+    node.  There are at most two pairs per row of the index, however long a list is, and a large
+    group of fingerprints that are close to each other is all but joined by them.
     """
     lanes = [f"lane{i}" for i in range(plan.lanes)]
     listed = _postings(classes, plan).select("key", "node")
-    mixed = F.xxhash64("node")
-    heads = F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", mixed), F.max_by("node", mixed)))
+    heads = F.array_distinct(F.array(F.min("node"), F.min_by("node", F.xxhash64("node"))))
     long_lists = listed.groupBy("key").agg(F.count("*").alias("n"), heads.alias("heads")).where(F.col("n") >= crowd)
     pairs = (
         listed.join(long_lists.select("key", F.explode("heads").alias("head")), "key").where("node <> head")
@@ -179,33 +178,51 @@ def crowd_links(classes: DataFrame, plan: Plan, crowd: int = CROWD) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(_compared(plan)[0]).select("a", "b")
 
 
-def candidate_links(classes: DataFrame, plan: Plan) -> DataFrame:
+def candidate_links(classes: DataFrame, plan: Plan, crowd: int = CROWD, rare=None) -> DataFrame:
     """Pairs (a, b) of nodes of different roots whose fingerprints differ in at most ``max_bits`` bits, each pair once.
 
     ``classes`` has one row per distinct fingerprint: ``node``, its lanes and ``root`` (left out:
     each is its own).  Roots, tally and verification stand in the join condition, so no other
     pair leaves the join; AQE splits the list of a posting that many fingerprints share.
+
+    With ``rare`` (nodes -> rows of node and shingle) the members of lists of ``crowd`` or more meet
+    at their rare shingles instead, under the same conditions: pairs without a common one are left
+    out, so it must give a shingle in common to every pair that the verification would bear out.
     """
     if "root" not in classes.columns:
         classes = classes.withColumn("root", F.col("node"))
     listed = _postings(classes, plan)
-    left, right = _sides(listed, *[c for c in listed.columns if c != "node"])
     close, first = _compared(plan)
-    met = (
-        (F.col("l_key") == F.col("r_key")) & (F.col("a") < F.col("b")) & (F.col("l_root") != F.col("r_root"))
-        & close & (first == F.col("l_posting"))
-    )
-    return left.join(right.drop("r_posting"), met).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: int = CROWD) -> DataFrame:
+    apart = (F.col("a") < F.col("b")) & (F.col("l_root") != F.col("r_root")) & close
+    crowded = None
+    if rare is not None:
+        crowded = listed.groupBy("key").agg(
+            F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")
+        ).where(F.col("n") >= crowd)
+        crowded = stored(crowded.select("key", "mixed"), "crowded")
+        members = listed.join(crowded.where("mixed"), "key", "left_semi").select("node").distinct()
+        listed = listed.join(crowded, "key", "left_anti")
+    left, right = _sides(listed, *[c for c in listed.columns if c != "node"])
+    met = (F.col("l_key") == F.col("r_key")) & apart & (first == F.col("l_posting"))
+    if crowded is None:
+        return left.join(right.drop("r_posting"), met).select("a", "b")
+    # The first shared posting may be that of a crowded list: any short one will do, and pairs are made distinct.
+    short = left.join(right.drop("r_posting"), (F.col("l_key") == F.col("r_key")) & apart)
+    kept = [c for c in classes.columns if c != "node"]
+    left, right = _sides(rare(stored(members, "members")).join(classes, "node"), "shingle", *kept)
+    long = left.join(right, (F.col("l_shingle") == F.col("r_shingle")) & apart & first.isNotNull())
+    return short.select("a", "b").union(long.select("a", "b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: int = CROWD, rare=None) -> DataFrame:
     """Fingerprint lanes and ``component_id`` of every row of ``docs`` (doc_id, text).
 
     Equal fingerprints are one class, whose node is its smallest doc_id: copies never
     become pairs.  Large groups of close fingerprints do not either: lists of ``crowd`` and more
     are linked to their heads first, and then only pairs that these links leave apart are looked
     for, which gives the components of all links.  ``verify(docs, links)`` may drop links that a
-    closer look does not bear out.  A null text counts as empty, texts without words share
+    closer look does not bear out; ``rare(docs, nodes)`` then spares it most pairs of long lists (see
+    ``candidate_links``).  A null text counts as empty, texts without words share
     fingerprint zero and are linked like any other; repeated rows share their component; rows with
     a null doc_id are returned, with the component of their class if that has any doc_id.
     Other columns of ``docs`` are ignored; an empty table gives an empty result.
@@ -222,7 +239,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: in
     grouped = stored(
         named.join(crowds, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *lanes), "crowds"
     )
-    links = borne_out(candidate_links(grouped, plan))
+    links = borne_out(candidate_links(grouped, plan, crowd, rare and (lambda nodes: rare(docs, nodes))))
     roots = components(links.union(crowds.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = classes.join(roots, "node", "left").select(
         *lanes, F.coalesce("root", "node").alias("component_id")
@@ -230,12 +247,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: in
     return prints.join(rooted, lanes, "left").select("doc_id", *lanes, "component_id")
 
 
-def verified_by_shingles(words: int, least: float):
-    """A verification for ``near_duplicates``: keep links whose texts have a Jaccard similarity of ``least``.
-
-    Only texts that take part in a link are read; their shingle sets travel as hashes.
-    """
-    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the distinct shingles of the texts of some nodes, as hashes; only those texts are read."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [
                 np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, words)], dtype=np.uint64)).view(np.int64)
@@ -243,12 +257,36 @@ def verified_by_shingles(words: int, least: float):
             ]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
+    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    return chosen.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def verified_by_shingles(words: int, least: float):
+    """A verification for ``near_duplicates``: keep links whose texts have a Jaccard similarity of ``least``."""
     def verify(docs: DataFrame, links: DataFrame) -> DataFrame:
-        taking_part = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
-        chosen = docs.select(F.col("doc_id").cast("long"), "text").join(taking_part, "doc_id", "left_semi")
-        sets = stored(chosen.mapInArrow(shingle_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+        taking_part = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        sets = stored(shingle_sets(docs, taking_part, words), "shingles")
         both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
 
     return verify
+
+
+def rare_shingles(words: int, least: float):
+    """The rarest shingles of texts, one of which any two texts with a Jaccard similarity of ``least`` share.
+
+    Of n distinct shingles two such texts have at least ``least`` n in common, so in one order
+    of all shingles (here by how many of the nodes hold them) their first n - ceil(least n) + 1 meet.
+    """
+    def rare(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+        held = stored(shingle_sets(docs, nodes, words), "held").select("node", F.explode("shingles").alias("shingle"))
+        spread = held.groupBy("shingle").agg(F.count("*").alias("texts"))
+        ordered = held.join(spread, "shingle").groupBy("node").agg(
+            F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("found")
+        )
+        n = F.size("found")
+        first = F.slice("found", 1, (n - F.ceil(n * least - 1e-6) + 1).cast("int"))
+        return ordered.select("node", F.explode(first).alias("one")).select("node", "one.shingle")
+
+    return rare

@@ -93,6 +93,43 @@ def test_heads_of_lists_change_no_component(spark):
     assert 4 < len(set(without.values())) < 200
 
 
+def test_rare_shingles_spare_pairs_and_change_no_component(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        text = list(words)
+        for _ in range(rng.choice((1, 4, 9))):
+            text[rng.randrange(150)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "one two"), (7, rows[7][1])], SCHEMA)
+    plan = near_dedup.Plan(words=5, lanes=1, groups=(tuple(range(8)),), posting_bytes=2, max_bits=24, least_shared=2)
+    pairs = {}
+
+    def found(rare):
+        pairs[rare] = []
+
+        def counted(docs, links):
+            pairs[rare].append(links.count())
+            return near_dedup.verified_by_shingles(5, 0.8)(docs, links)
+
+        got = near_dedup.near_duplicates(docs, plan, counted, 8, near_dedup.rare_shingles(5, 0.8) if rare else None)
+        return {r.doc_id: r.component_id for r in got.collect()}
+
+    assert found(True) == found(False)
+    assert pairs[True][1] < pairs[False][1]
+
+
+def test_rare_shingles_meet(spark):
+    docs = spark.createDataFrame(
+        [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i x"), (3, "p q r s t u v w y z"), (4, None)], SCHEMA
+    )
+    rows = near_dedup.rare_shingles(1, 0.8)(docs, docs.select(F.col("doc_id").cast("long").alias("node"))).collect()
+    of = {n: {r.shingle for r in rows if r.node == n} for n in (1, 2, 3, 4)}
+    assert [len(of[n]) for n in (1, 2, 3, 4)] == [3, 3, 3, 0]
+    assert of[1] & of[2] and not of[1] & of[3]
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (3, ""), (9, " \t\n"), (4, "One"), (6, "oNE"), (6, "oNE"), (None, "one"), (7, "word " * 200_000)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("lane0", F.lit("clash")).withColumn("component_id", F.lit(1.5))
