@@ -94,8 +94,16 @@ def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, lane0, lane1, ...) of every row; a null text is an empty one."""
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted unsigned hashes."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)], dtype=np.uint64))
+
+
+def fingerprints(docs: DataFrame, plan: Plan, content: bool = False) -> DataFrame:
+    """(doc_id, lane0, lane1, ...) of every row; a null text is an empty one.
+
+    With ``content`` a further column has a digest of the distinct shingles.
+    """
     names = [f"lane{i}" for i in range(plan.lanes)]
     words, lanes = plan.words, plan.lanes
 
@@ -103,9 +111,12 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
         for part in slices(batches):
             prints = [fingerprint(t, words, lanes) for t in utf8(part.column(1))]
             columns = [pa.array([p[i] for p in prints], pa.int64()) for i in range(lanes)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names])
+            if content:
+                sets = [shingle_set(t, words).astype("<u8").tobytes() for t in utf8(part.column(1))]
+                columns.append(pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names, *["content"] * content])
 
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", content binary" * content
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -181,7 +192,7 @@ def crowd_links(classes: DataFrame, plan: Plan, crowd: int = CROWD) -> DataFrame
 def candidate_links(classes: DataFrame, plan: Plan, crowd: int = CROWD, rare=None) -> DataFrame:
     """Pairs (a, b) of nodes of different roots whose fingerprints differ in at most ``max_bits`` bits, each pair once.
 
-    ``classes`` has one row per distinct fingerprint: ``node``, its lanes and ``root`` (left out:
+    ``classes`` has one row per class: ``node``, its lanes and ``root`` (left out:
     each is its own).  Roots, tally and verification stand in the join condition, so no other
     pair leaves the join; AQE splits the list of a posting that many fingerprints share.
 
@@ -218,7 +229,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: in
     """Fingerprint lanes and ``component_id`` of every row of ``docs`` (doc_id, text).
 
     Equal fingerprints are one class, whose node is its smallest doc_id: copies never
-    become pairs.  Large groups of close fingerprints do not either: lists of ``crowd`` and more
+    become pairs.  With ``verify`` equal fingerprints prove nothing: a class has one set of distinct
+    shingles too, so what is found of its node holds for every member, and texts that differ
+    in it are nodes of their own.  Large groups of close fingerprints do not either: lists of ``crowd`` and more
     are linked to their heads first, and then only pairs that these links leave apart are looked
     for, which gives the components of all links.  ``verify(docs, links)`` may drop links that a
     closer look does not bear out; ``rare(docs, nodes)`` then spares it most pairs of long lists (see
@@ -232,9 +245,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: in
     def borne_out(links: DataFrame) -> DataFrame:
         return verify(docs, stored(links, "pairs")) if verify else links
 
-    prints = stored(fingerprints(docs, plan), "prints")
-    classes = stored(prints.groupBy(*lanes).agg(F.min("doc_id").alias("node")), "classes")
-    named = classes.where("node is not null")
+    alike = [*lanes, "content"] if verify else lanes
+    prints = stored(fingerprints(docs, plan, verify is not None), "prints")
+    classes = stored(prints.groupBy(*alike).agg(F.min("doc_id").alias("node")), "classes")
+    named = classes.where("node is not null").select("node", *lanes)
     crowds = components(borne_out(crowd_links(named, plan, crowd)))
     grouped = stored(
         named.join(crowds, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *lanes), "crowds"
@@ -242,19 +256,16 @@ def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: in
     links = borne_out(candidate_links(grouped, plan, crowd, rare and (lambda nodes: rare(docs, nodes))))
     roots = components(links.union(crowds.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = classes.join(roots, "node", "left").select(
-        *lanes, F.coalesce("root", "node").alias("component_id")
+        *alike, F.coalesce("root", "node").alias("component_id")
     )
-    return prints.join(rooted, lanes, "left").select("doc_id", *lanes, "component_id")
+    return prints.join(rooted, alike, "left").select("doc_id", *lanes, "component_id")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, shingles): the distinct shingles of the texts of some nodes, as hashes; only those texts are read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = [
-                np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, words)], dtype=np.uint64)).view(np.int64)
-                for t in utf8(part.column(1))
-            ]
+            sets = [shingle_set(t, words).view(np.int64) for t in utf8(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")

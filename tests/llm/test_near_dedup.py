@@ -163,3 +163,22 @@ def test_verification_keeps_only_similar_texts(spark):
     links = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     got = near_dedup.verified_by_shingles(5, 0.8)(docs, links).collect()
     assert [(r.a, r.b) for r in got] == [(1, 2)]
+
+
+def test_equal_fingerprints_are_checked_by_their_shingles(spark):
+    line = [f"r{i}" for i in range(7)]
+
+    def text(*own):
+        return " ".join([*line * 130, *own])
+
+    own = [[f"d{k}x{i}" for i in range(150)] for k in range(3)]
+    texts = [text(*own[0]), text(*own[1]), text(*own[2]), text(*own[1][:-1], "other")]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    plan = near_dedup.Plan(
+        words=5, lanes=3, groups=tuple(tuple(range(8 * i, 8 * i + 8)) for i in range(3)), posting_bytes=2, max_bits=50, least_shared=2
+    )
+    assert len({tuple(near_dedup.fingerprint(t.encode(), 5, 3)) for t in texts}) == 1
+    verify, rare = near_dedup.verified_by_shingles(5, 0.8), near_dedup.rare_shingles(5, 0.8)
+    for crowd in (2, 32):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, plan, verify, crowd, rare).collect()}
+        assert got == {0: 0, 1: 1, 2: 2, 3: 1}
