@@ -35,7 +35,8 @@ class Plan:
 
     ``groups`` holds byte positions (0 is the lowest byte of the first lane); a posting is
     ``posting_bytes`` of one group.  Pairs that share ``guaranteed`` bytes are certain to meet;
-    a tally below ``least_shared`` (else below that guarantee) is dropped.
+    a tally below ``least_shared`` (else below that guarantee) is dropped.  With ``distinct``
+    a shingle counts once however often a text repeats it.
     """
 
     words: int
@@ -44,6 +45,7 @@ class Plan:
     posting_bytes: int
     max_bits: int
     least_shared: int | None = None
+    distinct: bool = False
 
     @property
     def guaranteed(self) -> int:
@@ -80,10 +82,14 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> list[int]:
-    """Lanes of the fingerprint, as signed longs; all zero for a text without words."""
+def hashes(text: bytes, words: int) -> np.ndarray:
+    """The shingles of a text, with repeats, as unsigned hashes."""
     found = shingles(text, words)
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found))
+
+
+def majorities(h: np.ndarray, lanes: int) -> list[int]:
+    """Lanes of the fingerprint of some hashes, as signed longs; all zero for none."""
     out = []
     for lane in range(lanes):
         ones = np.zeros(64, dtype=np.int64)
@@ -94,9 +100,10 @@ def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> list[int]:
     return out
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The distinct shingles of a text as sorted unsigned hashes."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)], dtype=np.uint64))
+def fingerprint(text: bytes, words: int = 3, lanes: int = 1, distinct: bool = False) -> list[int]:
+    """Lanes of the fingerprint of a text, over its shingles with or without their repeats."""
+    h = hashes(text, words)
+    return majorities(np.unique(h) if distinct else h, lanes)
 
 
 def fingerprints(docs: DataFrame, plan: Plan, content: bool = False) -> DataFrame:
@@ -105,15 +112,18 @@ def fingerprints(docs: DataFrame, plan: Plan, content: bool = False) -> DataFram
     With ``content`` a further column has a digest of the distinct shingles.
     """
     names = [f"lane{i}" for i in range(plan.lanes)]
-    words, lanes = plan.words, plan.lanes
+    words, lanes, distinct = plan.words, plan.lanes, plan.distinct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            prints = [fingerprint(t, words, lanes) for t in utf8(part.column(1))]
+            prints, digests = [], []
+            for text in utf8(part.column(1)):
+                h = hashes(text, words)
+                once = np.unique(h) if content or distinct else h
+                prints.append(majorities(once if distinct else h, lanes))
+                digests.append(xxhash.xxh3_128_digest(once.astype("<u8").tobytes()) if content else None)
             columns = [pa.array([p[i] for p in prints], pa.int64()) for i in range(lanes)]
-            if content:
-                sets = [shingle_set(t, words).astype("<u8").tobytes() for t in utf8(part.column(1))]
-                columns.append(pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()))
+            columns += [pa.array(digests, pa.binary())] * content
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names, *["content"] * content])
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", content binary" * content
@@ -265,7 +275,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, shingles): the distinct shingles of the texts of some nodes, as hashes; only those texts are read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = [shingle_set(t, words).view(np.int64) for t in utf8(part.column(1))]
+            sets = [np.unique(hashes(t, words)).view(np.int64) for t in utf8(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")

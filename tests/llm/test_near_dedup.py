@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import xxhash
 from pyspark.sql import functions as F
 
@@ -182,3 +183,30 @@ def test_equal_fingerprints_are_checked_by_their_shingles(spark):
     for crowd in (2, 32):
         got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, plan, verify, crowd, rare).collect()}
         assert got == {0: 0, 1: 1, 2: 2, 3: 1}
+
+
+def test_copies_that_repeat_a_line_more_often_meet(spark):
+    texts = []
+    for k in range(20):
+        own, line = [f"d{k}x{i}" for i in range(300)], [f"r{k}x{i}" for i in range(10)]
+        texts += [" ".join([*own, *line * 2]), " ".join([*own, *line * 60])]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    words, least = corpus_pipeline.WIDE.words, corpus_pipeline.SIMILARITY
+    found = near_dedup.near_duplicates(
+        docs, corpus_pipeline.WIDE, near_dedup.verified_by_shingles(words, least), rare=near_dedup.rare_shingles(words, least)
+    )
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i - i % 2 for i in range(40)}
+
+
+def test_pairs_at_the_least_similarity_meet():
+    plan, rng, missed, pairs = corpus_pipeline.WIDE, random.Random(3), 0, 1000
+    for _ in range(pairs):
+        words = [f"{rng.random()}" for _ in range(304)]  # 300 shingles, 267 of them in both texts
+        prints = [
+            near_dedup.fingerprint(" ".join([*words[:271], *own]).encode(), plan.words, plan.lanes, plan.distinct)
+            for own in (words[271:], [f"{rng.random()}" for _ in range(33)])
+        ]
+        differing = [(a ^ b) & (2**64 - 1) for a, b in zip(*prints)]
+        shared = max(sum((d >> 8 * i & 255) == 0 for i in range(8)) for d in differing)
+        missed += shared < plan.least_shared or sum(d.bit_count() for d in differing) > plan.max_bits
+    assert missed <= 0.015 * pairs, missed
