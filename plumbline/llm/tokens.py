@@ -4,7 +4,7 @@ A byte-level BPE never merges across a blank that stands alone between two words
 starts the next piece), across a line feed that does, or between letters and the signs after
 them.  So a text is cut at such places, each distinct piece goes through the tokenizers
 library once per worker while it is remembered, and the ids of a text are its pieces' ids in
-a row.
+a row.  A text that holds the content of an added token goes through the library whole.
 """
 
 from __future__ import annotations
@@ -28,14 +28,18 @@ TOGETHER = 200
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids; one per Python worker.
 
-    A remembered piece has a blank before it unless it starts with a line feed.
+    ``of`` gives the ids of the library at its defaults, where the content of an added token is that
+    token; with ``as_text`` it is read like other text.  A remembered piece has a blank before it unless it starts with a line feed.
     """
 
     _own: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        added = [] if as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.library = Tokenizer.from_file(path) if added else self.tokenizer
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.starts = {" ": np.zeros(self.tokenizer.get_vocab_size(), dtype=bool), "\n": np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)}
@@ -50,7 +54,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in cls._own:
-            cls._own[path] = cls(path)
+            cls._own[path] = cls(path, as_text=False)
         return cls._own[path]
 
     def plain(self, text: str) -> bytes:
@@ -104,6 +108,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        if self.added is None:
+            return self._encode(texts)
+        whole = [self.added.search(t) is not None for t in texts]
+        others = iter(self._encode([t for t, w in zip(texts, whole) if not w]))
+        return [self._whole(t) if w else next(others) for t, w in zip(texts, whole)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.now) > REMEMBERED:
             self.now, self.before = {}, self.now
         now, rows, missing = self.now, [], set()

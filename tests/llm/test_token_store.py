@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import token_store, tokens
+from plumbline.llm import packing, token_store, tokens
 from plumbline.llm.queries import QUERIES, TOKENIZER
 from plumbline.llm.token_store import WaveletMatrix
 
@@ -77,3 +77,24 @@ def test_shards_nulls_and_repeats(spark, tmp_path, plain, monkeypatch):
 
 def test_empty_table(spark):
     assert token_store.encoded(spark.createDataFrame([], SCHEMA), TOKENIZER).count() == 0
+
+
+def test_added_tokens_like_the_library_at_its_defaults(spark, tmp_path):
+    default = Tokenizer.from_file(TOKENIZER)
+    some = [
+        *ODD, "hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\nb c", "x <|endoftext| > y", "\n<|endoftext|> \n's",
+        "  <|endoftext|>  two  ", "<|ENDOFTEXT|> a", "a b<|endoftext|>c d" * 50,
+    ]
+    ids = [default.encode(t, add_special_tokens=False).ids for t in some]
+    assert ids[len(ODD)] == [31373, 220, 50256, 995]
+    for _ in range(2):
+        assert [np.frombuffer(r, "<u4").tolist() for r in tokens.Encoder.of(TOKENIZER).encode(some)] == ids
+    docs = spark.createDataFrame(list(enumerate(some)), SCHEMA)
+    token_store.write_shards(docs, f"{tmp_path}/s", TOKENIZER, partitions=3)
+    got = sorted(token_store.read_index(spark, f"{tmp_path}/s").collect(), key=lambda r: r.doc_id)
+    assert [r.n_tokens for r in got] == [len(i) + 1 for i in ids]
+    assert [r.start for r in got] == [0, *np.cumsum([len(i) + 1 for i in ids])[:-1]]
+    rows = packing.packed(docs, TOKENIZER).collect()
+    assert {r.doc_id: r.ids_crc32 for r in rows} == {
+        i: zlib.crc32(np.array([*own, 2], dtype="<u4").tobytes()) for i, own in enumerate(ids) if len(own) < 1024
+    } | {r.doc_id: r.ids_crc32 for r in rows if len(ids[r.doc_id]) >= 1024}
