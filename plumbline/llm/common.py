@@ -80,3 +80,29 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         parted.withColumn("_inside", inside).join(shifts, cells)
         .withColumn("rank", F.col("_shift") + F.col("_inside")).drop("_part", "_inside", "_shift")
     )
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """A written table of the rows of ``docs`` (doc_id, text, ...) with a ``key`` of their own: 0, 1, 2 ... without gaps.
+
+    Keys follow doc_id, null after all others, then the text and the other columns, so they depend on
+    values alone and rows that share one are alike in all.  Rows are dealt by ranges of all of
+    these and a number of the row, so that no doc_id, however often repeated, is in one task.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    marks = [f"_{key}{i}" for i in range(3)]
+    marked = docs.withColumns({
+        marks[0]: F.sha2("text", 256), marks[1]: F.xxhash64(F.to_json(F.struct(*others)) if others else F.lit(0)),
+        marks[2]: F.monotonically_increasing_id(),
+    })
+    order = [F.col("doc_id").asc_nulls_last(), *[F.col(m).asc_nulls_first() for m in marks]]
+    ranged = marked.repartitionByRange(*order).sortWithinPartitions(*order).drop(*marks)
+    rows = stored(ranged.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    # A key so far is the number of its range, then its place there in 33 bits; there are few ranges.
+    part = F.shiftright(key, 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+    place = F.col(key).bitwiseAND((1 << 33) - 1)
+    placed = rows.withColumn("_part", part).join(F.broadcast(shifts), "_part")
+    return placed.withColumn(key, F.col("_shift") + place).drop("_part", "_shift")
