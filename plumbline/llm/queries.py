@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import shared_folder
 
-from . import exact_dedup, license_search, mixing, near_dedup, nearest, packing, quality, sanitise, secret_ledger, token_store
+from . import exact_dedup, hash_tree, license_search, mixing, near_dedup, nearest, packing, quality, sanitise, secret_ledger, token_store
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,3 +92,47 @@ def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_wavelet_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encoded(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def _mixed_sql(name: str, start: str) -> str:
+    """Columns that end with ``name``, the mixed 32 bits of ``start``."""
+    f = hash_tree.FACTOR
+    return (
+        f"{start} AS {name}0, (xor({name}0, {name}0 >> 16) * {f}) & 4294967295 AS {name}1, "
+        f"(xor({name}1, {name}1 >> 16) * {f}) & 4294967295 AS {name}2, xor({name}2, {name}2 >> 16) AS {name}"
+    )
+
+
+@query(f"""
+WITH steps AS (
+    -- CRC-32 of a byte, by its 8 bits
+    SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 1, 1, 1, 1, 1, 1, 1, 1],
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs
+), docs AS (
+    SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS text FROM documents
+), sized AS (
+    SELECT doc_id, n, strlen(text) + 1 AS size,
+           xor(list_reduce(list_prepend(4294967295, [('0x' || b)::BIGINT FOR b IN regexp_extract_all(hex(encode(text)), '..')]),
+               lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+    FROM docs, steps
+), high AS (
+    SELECT *, {_mixed_sql("h", "(coalesce(doc_id, -1) >> 32) & 4294967295")} FROM sized
+), hashed AS (
+    SELECT *, {_mixed_sql("k", "xor(h, coalesce(doc_id, -1) & 4294967295)")} FROM high
+), leaves AS (
+    SELECT s AS leaf, {_mixed_sql("m", "s + 1")} FROM range(17) t(s)
+), drawn AS (
+    SELECT doc_id, n, size, text_crc32, leaf, {_mixed_sql("d", "xor(k, m)")} FROM hashed, leaves
+), chosen AS (
+    SELECT doc_id, n, size, text_crc32,
+           first(leaf ORDER BY d DESC, leaf) FILTER (leaf < 16) AS shard, first(leaf ORDER BY d DESC, leaf) AS grown_shard
+    FROM drawn GROUP BY ALL
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, text_crc32, size) - 1 AS slot,
+       grown_shard::INT AS grown_shard
+FROM chosen
+""")
+def op11_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return hash_tree.assignment(documents, hash_tree.tree(16), hash_tree.tree(17))
