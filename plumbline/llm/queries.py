@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import shared_folder
 
-from . import exact_dedup, hash_tree, license_search, mixing, near_dedup, nearest, packing, quality, sanitise, secret_ledger, token_store
+from . import divergence, exact_dedup, hash_tree, license_search, mixing, near_dedup, nearest, packing, quality, sanitise, secret_ledger, token_store
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -136,3 +136,45 @@ FROM chosen
 def op11_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return hash_tree.assignment(documents, hash_tree.tree(16), hash_tree.tree(17))
+
+
+@query(r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), terms AS (
+    SELECT id, lang, source,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), counted AS (
+    SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), filled AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), grouped AS (
+    SELECT lang, source, term, n,
+           1 + ((n + 2)::HUGEINT * 1000000000) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p
+    FROM filled
+), whole AS (
+    SELECT lang, term, 1 + ((n + 2)::HUGEINT * 1000000000) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q
+    FROM kept
+), sources AS (
+    SELECT DISTINCT lang, source FROM docs
+), compared AS (
+    SELECT lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM grouped a JOIN grouped b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+), parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(c.value, 0) AS value
+    FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN compared c ON c.lang = a.lang AND c.source = a.source AND c.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM grouped JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, place::INT AS rank FROM ranked WHERE part = 'pair' OR place <= 10
+""")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
