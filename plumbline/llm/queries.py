@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import shared_folder
 
-from . import divergence, exact_dedup, hash_tree, license_search, mixing, near_dedup, nearest, packing, quality, sanitise, secret_ledger, token_store
+from . import divergence, exact_dedup, hash_tree, license_search, mixing, near_dedup, nearest, packing, periodic_runs, quality, sanitise, secret_ledger, token_store
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -178,3 +178,9 @@ SELECT lang, source, part, item, value::BIGINT AS value, place::INT AS rank FROM
 """)
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = periodic_runs.planted(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.detect(documents))
