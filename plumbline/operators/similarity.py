@@ -302,15 +302,12 @@ def approximate_topk(
 ) -> DataFrame:
     """Candidates by the cosine of their codes, then an exact ranking of those.
 
-    ``index`` comes from :func:`vector_codes` over ``corpus``.  More than
-    ``max_inline`` queries are answered exactly by :func:`vector_topk`.
+    ``index`` comes from :func:`vector_codes` over ``corpus`` and is read whole; more than
+    ``max_inline`` queries are refused, as ``operators.vector_index`` serves any number of them.
     """
     asked = queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("vector")).limit(max_inline + 1).collect()
     if len(asked) > max_inline:
-        return vector_topk(
-            queries, corpus, query_id=query_id, query_vector=query_vector, corpus_id=corpus_id,
-            corpus_vector=corpus_vector, k=k, max_inline=max_inline,
-        )
+        raise ValueError(f"more than {max_inline} queries: search a stored index (operators.vector_index) instead")
     spark = corpus.sparkSession
     ids = [r["id"] for r in asked]
     dims = next((len(r["vector"]) for r in asked if r["vector"] is not None), 0)
