@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import banded, count_all, day, moment, share
 
 
+#: Days that one long has bits for.
+DAYS_A_WORD = 63
+
+
 def rows_by_day(df: DataFrame, ts: str, days: int | None = 14, since: str | None = None) -> DataFrame:
     """(day, n) of the latest ``days`` days that have rows; every day with ``None``.
 
@@ -140,6 +145,51 @@ def group_completeness(
     )
 
 
+def completeness_by_key(
+    df: DataFrame, key: str, ts: str, minimum: int, first_day: str, last_day: str, *, keys: DataFrame | None = None
+) -> DataFrame:
+    """(key, days, missing_days, first_missing, last_missing): a row for every key short of ``minimum`` rows on some day of the range.
+
+    Each key carries its days as bits, so it is one row however long the range is, and a key without any row in the range
+    has all days missing.  ``keys`` (one column) are the keys that are expected; left out, those of the whole table
+    are, at the price of its key column being read outside the range too.  A null key is a key; repeated keys count once.
+    """
+    start, end = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
+    inside = (F.col(ts) >= start.cast("timestamp_ntz")) & (F.col(ts) < F.date_add(end, 1).cast("timestamp_ntz"))
+    known = df.select(F.col(key).alias("key")) if keys is None else keys.toDF("key")
+    # One grouping by key and day; a key that is only expected has the day null and no rows.
+    both = df.where(inside).select(F.col(key).alias("key"), day(ts).alias("day"), F.lit(1).cast("long").alias("one")).unionAll(
+        known.select("key", F.lit(None).cast("date").alias("day"), F.lit(0).cast("long").alias("one"))
+    )
+    counts = both.groupBy("key", "day").agg(F.sum("one").alias("n"), F.max(F.col("one") == 0).alias("expected"))
+    # Bits of a long for 63 days each; the range is a parameter, so their number is known.
+    total = (datetime.date.fromisoformat(last_day) - datetime.date.fromisoformat(first_day)).days + 1
+    words = range(-(-total // DAYS_A_WORD))
+    place = F.date_diff("day", start)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place % DAYS_A_WORD)
+    full = F.col("n") >= minimum
+    held = counts.groupBy("key").agg(
+        *[F.bit_or(F.when(full & (F.floor(place / DAYS_A_WORD) == w), bit)).alias(f"w{w}") for w in words],
+        F.max("expected").alias("expected"),
+    )
+    if keys is not None:
+        held = held.where("expected")
+    bits = F.array(*[F.coalesce(F.col(f"w{w}"), F.lit(0).cast("long")) for w in words])
+    present = sum((F.bit_count(F.coalesce(F.col(f"w{w}"), F.lit(0).cast("long"))) for w in words), F.lit(0))
+
+    def has(i: Column) -> Column:
+        word = F.element_at("_bits", F.floor(i / DAYS_A_WORD).cast("int") + 1)
+        return F.call_function("shiftright", word, i % DAYS_A_WORD).bitwiseAND(1) == 1
+
+    short = held.where(present < total).select("key", bits.alias("_bits"))
+    missing = F.filter(F.sequence(F.lit(0), F.lit(total - 1)), lambda i: ~has(i))
+    return short.withColumn("_missing", missing).select(
+        "key", F.lit(total).alias("days"), F.size("_missing").alias("missing_days"),
+        F.date_add(start, F.element_at("_missing", 1)).alias("first_missing"),
+        F.date_add(start, F.element_at("_missing", -1)).alias("last_missing"),
+    )
+
+
 def coverage_drop(df: DataFrame, key: str, ts: str) -> DataFrame:
     """Keys seen before and absent on the latest day, with the day they were last seen.
 

@@ -36,8 +36,9 @@ class RangeRule:
     low: float | None = None
     high: float | None = None
 
-    def violated(self) -> Column:
-        value = F.col(self.column)
+    def violated(self, value: Column | None = None) -> Column:
+        """Whether ``value``, else the column, lies outside."""
+        value = F.col(self.column) if value is None else value
         tests = []
         if self.low is not None:
             tests.append(value < F.lit(self.low))
@@ -81,11 +82,17 @@ def first_timestamp(df: DataFrame, candidates: Sequence[str]) -> str | None:
     return next((c for c in candidates if c in df.columns), None)
 
 
+def moment_of(df: DataFrame, name: str) -> Column:
+    """A time column as it is; a text as the moment it can be read as, else null."""
+    return F.col(name).try_cast("timestamp_ntz") if df.schema[name].dataType.typeName() == "string" else F.col(name)
+
+
 def bounds_metrics(df: DataFrame, candidates: Sequence[str]) -> list[Metric]:
     found = first_timestamp(df, candidates)
     if found is None:
         return []
-    return [Metric(found, "min", F.min(found)), Metric(found, "max", F.max(found))]
+    at = moment_of(df, found)
+    return [Metric(found, "min", F.min(at)), Metric(found, "max", F.max(at))]
 
 
 def table_profile(
@@ -111,8 +118,9 @@ def timestamp_bounds(df: DataFrame, table_id: str, candidates: Sequence[str]) ->
     found = first_timestamp(df, candidates)
     if found is None:
         return None
+    at = moment_of(df, found)
     return df.agg(
-        F.min(found).cast("timestamp_ntz").alias("min_ts"), F.max(found).cast("timestamp_ntz").alias("max_ts")
+        F.min(at).cast("timestamp_ntz").alias("min_ts"), F.max(at).cast("timestamp_ntz").alias("max_ts")
     ).select(F.lit(table_id).alias("table_id"), F.lit(found).alias("ts_column"), "min_ts", "max_ts")
 
 
@@ -120,7 +128,7 @@ def freshness(
     df: DataFrame, table_id: str, ts: str, as_of: str, pass_hours: int = 24, warn_hours: int = 48
 ) -> DataFrame:
     """Latest timestamp and its lag behind ``as_of`` in whole minutes, with a verdict."""
-    latest = df.agg(F.max(ts).cast("timestamp_ntz").alias("latest"))
+    latest = df.agg(F.max(moment_of(df, ts)).cast("timestamp_ntz").alias("latest"))
     lag = minutes_between("latest", moment(as_of))
     verdict = F.when(F.col("latest").isNull(), "fail").otherwise(
         banded("lag_minutes", pass_hours * 60, warn_hours * 60)

@@ -45,13 +45,17 @@ def reconcile_keys(
 
 def aggregate_sanity(
     detail: DataFrame, published: DataFrame, keys: Sequence[str], value: str, columns: Mapping[str, str],
-    tolerance: float = 0.005, only_problems: bool = True,
+    tolerance: float = 0.005, only_problems: bool = True, relative: float = 1e-12,
 ) -> DataFrame:
     """Derive a published aggregate again from its detail rows and compare.
 
     ``keys`` are columns of both frames.  ``columns`` maps ``total``, ``average``
     and ``peak`` to the published column; leave out what is not published.
-    ``status`` is match, differs, only_detail or only_published.
+    ``status`` is match, differs, only_detail, only_published or duplicate_published (a key published more than
+    once, whatever the values; the largest are shown).  Totals and averages are added up in decimals of
+    nine places, so they do not depend on the order of rows; values match that differ by no more than ``tolerance`` or
+    than ``relative`` of the published one.  A total beyond 29 digits or of values that are no numbers is null, and
+    differs from a published number.
     """
     unset = F.lit(None).cast("double")
     parts = list(columns)
@@ -64,10 +68,14 @@ def aggregate_sanity(
             *[F.col(c).cast("double").alias(f"published_{p}") for p, c in columns.items()],
         )
     )
-    again = {"total": F.sum("_value"), "average": F.avg("_value"), "peak": F.max("_value")}
+    exact = F.try_sum(F.col("_value").try_cast("decimal(38,9)"))
+    readable = F.count_if(F.col("_value").isNotNull() & F.col("_value").try_cast("decimal(38,9)").isNull()) == 0
+    total = F.when(readable, exact.cast("double"))
+    again = {"total": total, "average": F.try_divide(total, F.count("_value")), "peak": F.max("_value")}
     grouped = both.groupBy(*keys).agg(
         F.max("_detail").alias("_has_detail"),
         F.min("_detail").alias("_no_published"),
+        F.count_if(~F.col("_detail")).alias("_published_rows"),
         *[again[p].alias(f"derived_{p}") for p in parts],
         *[F.max(f"published_{p}").alias(f"published_{p}") for p in parts],
     )
@@ -75,12 +83,15 @@ def aggregate_sanity(
     for p in parts:
         derived, stated = F.col(f"derived_{p}"), F.col(f"published_{p}")
         # A missing value equals only a missing value.
-        apart = apart | F.coalesce(F.abs(derived - stated) > tolerance, derived.isNull() != stated.isNull())
+        apart = apart | F.coalesce(
+            F.abs(derived - stated) > F.greatest(F.lit(tolerance), relative * F.abs(stated)), derived.isNull() != stated.isNull()
+        )
     compared = grouped.withColumn(
         "status",
-        F.when(~F.col("_has_detail"), "only_published")
+        F.when(F.col("_published_rows") > 1, "duplicate_published")
+        .when(~F.col("_has_detail"), "only_published")
         .when(F.col("_no_published"), "only_detail")
         .when(apart, "differs")
         .otherwise("match"),
-    ).drop("_has_detail", "_no_published")
+    ).drop("_has_detail", "_no_published", "_published_rows")
     return compared.where(F.col("status") != "match") if only_problems else compared

@@ -14,6 +14,13 @@ DEFAULT_BANDS = (
     ("range", 0.0, 0.0, "rows out of range", "trace the rows out of range"),
     ("accepted", 0.0, 0.0, "rows with an unknown value", "extend the allowed values or fix the source"),
     ("duplicate_grain", 0.0, 0.0, "duplicate grain values", "remove duplicates or correct the grain"),
+    ("schema", 0.0, 0.0, "columns that differ", "agree on the columns with the producer"),
+    ("completeness", 0.0, 0.0, "keys with missing days", "load the missing days again"),
+    ("coverage", 0.0, 0.0, "keys that stopped", "ask the sources that stopped"),
+    ("cutoff", 0.0, 0.0, "days short after their cutoff", "load the short days again"),
+    ("reconcile_days", 0.0, 0.0, "days that differ", "compare the days on both sides"),
+    ("reconcile_keys", 0.0, 0.0, "keys on one side only", "compare the keys on both sides"),
+    ("aggregate", 0.0, 0.0, "aggregates that differ", "derive the aggregates again"),
 )
 
 

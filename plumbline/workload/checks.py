@@ -183,3 +183,39 @@ def agg_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
         for part, n in digits.items() for side in ("derived", "published")
     ]
     return _day_as_text(compared).select("key", "day", "status", *shown)
+
+
+@query(f"""
+    WITH {SILVER_SQL}, {GOLD_SQL},
+    large AS (SELECT "key", "day", daily_total * 1000000000000 AS daily_total, peak FROM gold),
+    published AS (SELECT * FROM large WHERE peak > 2 UNION ALL SELECT "key", "day", 3 * daily_total, peak FROM large WHERE peak BETWEEN 20 AND 30),
+    p AS (SELECT "key", "day", max(daily_total) AS pt, count(*) AS n FROM published GROUP BY 1, 2)
+    SELECT coalesce(g."key", p."key") AS "key", CAST(coalesce(g."day", p."day") AS VARCHAR) AS "day",
+           CASE WHEN p.n > 1 THEN 'duplicate_published' WHEN p.n IS NULL THEN 'only_detail' END AS status
+    FROM large g FULL OUTER JOIN p ON g."key" = p."key" AND g."day" = p."day" WHERE p.n > 1 OR p.n IS NULL
+""")
+def agg_sanity_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of 10^12 and more, some published twice: no difference but in how often a key is published."""
+    readings = silver(spark, sf_dir)
+    scaled = readings.withColumn("value", F.col("value") * 1e12)
+    large = pipeline.peak_day(readings, key="user_id", ts="ts", reading="value").withColumn("daily_total", F.col("daily_total") * 1e12)
+    twice = large.where("peak BETWEEN 20 AND 30").withColumn("daily_total", 3 * F.col("daily_total"))
+    detail = scaled.select(F.col("user_id").alias("key"), F.col("collection_date").alias("day"), "value")
+    compared = reconcile.aggregate_sanity(
+        detail, large.where("peak > 2").unionByName(twice), ["key", "day"], "value", {"total": "daily_total"},
+    )
+    return _day_as_text(compared).select("key", "day", "status")
+
+
+@query("""
+    WITH k AS (SELECT DISTINCT user_id AS "key" FROM events),
+    d AS (SELECT CAST(g AS DATE) AS "day" FROM generate_series(DATE '2024-01-03', DATE '2024-01-05', INTERVAL 1 DAY) t(g)),
+    c AS (SELECT user_id AS "key", CAST(ts AS DATE) AS "day", count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT k."key", 3 AS days, CAST(count(*) AS INT) AS missing_days, CAST(min(d."day") AS VARCHAR) AS first_missing,
+           CAST(max(d."day") AS VARCHAR) AS last_missing
+    FROM k CROSS JOIN d LEFT JOIN c ON c."key" = k."key" AND c."day" = d."day" WHERE coalesce(c.n, 0) < 1 GROUP BY 1
+""")
+def completeness_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three days of a longer table: keys that have rows only outside them are reported with all days missing."""
+    found = groups.completeness_by_key(table(spark, sf_dir, "events"), "user_id", "ts", 1, "2024-01-03", "2024-01-05")
+    return found.withColumns({c: F.col(c).cast("string") for c in ("first_missing", "last_missing")})

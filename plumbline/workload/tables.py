@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import moment
@@ -258,6 +258,20 @@ def bounded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.bounded_sample(orders, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
 
 
+@query("""
+    SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS "at", CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+           count(*) OVER () AS total_rows, count(*) OVER () > 25 AS truncated
+    FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25
+""")
+def counted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows with the number of all."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    found = guard.counted_sample(orders, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+    # At most 25 rows: one window over all of them numbers them.
+    place = F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey")) - 1
+    return found.select(place.cast("long").alias("at"), F.col("o_orderkey").cast("string").alias("o_orderkey"), "total_rows", "truncated")
+
+
 # Meter readings: a reading per event, from 0 to 4 active devices.
 SILVER_SQL = """silver AS (
     SELECT event_id, user_id, ts, value, event_id % 5 AS devices, hour(ts) AS hour_of_day, minute(ts) AS minute_of_hour,
