@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,25 +14,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1024  # fixed value: the published size of stored embeddings
-SPREAD = 0.1  # fixed value: seeded vectors lie in [-0.1, 0.1]
+SPREAD = 0.1  # fixed value: vectors without a model lie in [-0.1, 0.1]
 
 EmbedBatch = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
-def seeded_vectors(texts: Sequence[str]) -> list[np.ndarray]:
-    """A stand-in for a model: equal texts get equal vectors, on every machine."""
-    seeds = [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()) for t in texts]
-    return [(np.random.default_rng(s).random(DIMENSIONS, np.float32) * 2 - 1) * np.float32(SPREAD) for s in seeds]
+_WORD = re.compile(r"\w+")
+
+
+def hashed_words(texts: Sequence[str]) -> list[np.ndarray]:
+    """Bag-of-words vectors without a model: each word adds one to the place, and in the direction, that its hash names.
+
+    Vectors have length ``SPREAD``, that of a text without words none; equal texts get equal vectors, on every machine.
+    """
+    out = []
+    for text in texts:
+        vector = np.zeros(DIMENSIONS, np.float32)
+        for word in _WORD.findall(text.lower()):
+            h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+            vector[h % DIMENSIONS] += 1 if h >> 31 else -1
+        length = np.sqrt((vector.astype(np.float64) ** 2).sum())
+        out.append(vector * np.float32(SPREAD / length) if length else vector)
+    return out
+
+
+def _made(embed_batch: EmbedBatch, texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
+    """(vector, error) of each text.  A batch that fails is halved until what fails stands alone."""
+    try:
+        return [(np.asarray(v, dtype=np.float32), None) for _, v in zip(texts, embed_batch(texts), strict=True)]
+    except Exception as error:  # a model may raise anything; the rows carry it
+        if len(texts) == 1:
+            return [(None, str(error))]
+    half = len(texts) // 2
+    return _made(embed_batch, texts[:half]) + _made(embed_batch, texts[half:])
 
 
 def embed(
-    df: DataFrame, text: str, load: Callable[[], EmbedBatch] = lambda: seeded_vectors, *,
+    df: DataFrame, text: str, load: Callable[[], EmbedBatch] = lambda: hashed_words, *,
     output: str = "embedding", batch_rows: int = 128,
 ) -> DataFrame:
     """Add a vector per row.  ``load`` runs once per task and gives the batch function.
 
-    A batch that fails leaves null vectors and its message in ``embedding_error``;
-    null texts have neither.  Only the text crosses into Python.
+    A text that makes its batch fail, or gets no vector of its own, has a null vector and the message in ``embedding_error``; the
+    other texts of the batch are not affected, at twice the logarithm of its size in further calls for each such text.
+    Null texts have neither.  Only the text crosses into Python.
     """
     @F.pandas_udf("vector array<float>, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -42,13 +68,8 @@ def embed(
             given = [i for i, t in enumerate(texts) if isinstance(t, str)]
             for start in range(0, len(given), batch_rows):
                 at = given[start:start + batch_rows]
-                try:
-                    made = embed_batch([texts.iloc[i] for i in at])
-                    for i, v in zip(at, made, strict=True):
-                        vectors[i] = np.asarray(v, dtype=np.float32)
-                except Exception as error:  # a model may raise anything; the rows carry it
-                    for i in at:
-                        vectors[i], errors[i] = None, str(error)
+                for i, (vector, error) in zip(at, _made(embed_batch, [texts.iloc[i] for i in at])):
+                    vectors[i], errors[i] = vector, error
             yield pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     return (

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .embedding import EmbedBatch, embed, query_texts, seeded_vectors, understanding_texts
+from .embedding import EmbedBatch, embed, hashed_words, query_texts, understanding_texts
 from .runs import skipped, usable
 from .similarity import vector_topk
 from .versions import assign_versions
 
 
 def remember(
-    incoming: DataFrame, stored: DataFrame, load: Callable[[], EmbedBatch] = lambda: seeded_vectors,
+    incoming: DataFrame, stored: DataFrame, load: Callable[[], EmbedBatch] = lambda: hashed_words,
 ) -> DataFrame:
     """New understandings ready to append: numbered per table, usable ones with a vector.
 
@@ -28,7 +28,7 @@ def remember(
 
 
 def prior_understandings(
-    table_ids: DataFrame, understandings: DataFrame, load: Callable[[], EmbedBatch] = lambda: seeded_vectors,
+    table_ids: DataFrame, understandings: DataFrame, load: Callable[[], EmbedBatch] = lambda: hashed_words,
     k: int = 3,
 ) -> DataFrame:
     """The k stored understandings most like each table, without their vectors.

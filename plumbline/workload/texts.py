@@ -118,18 +118,42 @@ def explode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.explode_ids(lists, "ids").drop("ids")
 
 
-@query()
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_TOO_LONG = 4000
+
+
+def _letter_counts() -> embedding.EmbedBatch:
+    """How often a text has each letter; a text that is too long fails its whole batch."""
+    def run(texts):
+        if any(len(t) > _TOO_LONG for t in texts):
+            raise ValueError(f"longer than {_TOO_LONG} characters")
+        return [[t.count(c) + t.count(c.upper()) for c in _LETTERS] for t in texts]
+
+    return run
+
+
+@query(f"""
+    SELECT doc_id, length(text) <= {_TOO_LONG} AS made, CASE WHEN length(text) <= {_TOO_LONG} THEN 26 ELSE -1 END AS dims,
+           CASE WHEN length(text) <= {_TOO_LONG} THEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) ELSE -1 END AS letters,
+           CASE WHEN length(text) <= {_TOO_LONG} THEN length(regexp_replace(text, '[^Ee]', '', 'g')) ELSE -1 END AS e,
+           CASE WHEN length(text) > {_TOO_LONG} THEN 'longer than {_TOO_LONG} characters' ELSE '' END AS error
+    FROM documents
+""")
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for every document, described by its size and bounds."""
+    """A vector of letter counts for every document; documents that fail a batch stand alone in the end."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = embedding.embed(documents, "text")
+    made = embedding.embed(documents, "text", _letter_counts)
+    known = F.col("embedding").isNotNull()
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return made.select(
-        "doc_id", F.size("embedding").alias("dims"), F.round(F.array_min("embedding"), 3).alias("low"),
-        F.round(F.array_max("embedding"), 3).alias("high"), "embedding_error",
+        "doc_id", known.alias("made"), F.when(known, F.size("embedding")).otherwise(-1).alias("dims"),
+        F.when(known, total).otherwise(-1).cast("long").alias("letters"),
+        F.when(known, F.element_at("embedding", 5)).otherwise(-1).cast("long").alias("e"),
+        F.coalesce("embedding_error", F.lit("")).alias("error"),
     )
 
 
-@query()
+@query("SELECT doc_id, 1024 AS dims, 1.0::DOUBLE AS length FROM documents")
 def embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bag-of-words vectors of every document, without Python workers."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -106,6 +106,25 @@ def test_a_failing_model_is_a_column(spark):
     assert found == {1: (None, "model away"), 2: (None, None)}
 
 
+def test_one_bad_text_stands_alone(spark):
+    def load():
+        def run(texts):
+            if "bad" in texts:
+                raise RuntimeError("cannot read it")
+            return [[float(len(t))] for t in texts]
+        return run
+
+    rows = spark.createDataFrame([(i, "bad" if i in (3, 77) else "x" * i) for i in range(100)], "id int, t string").coalesce(1)
+    found = {r["id"]: (r["embedding"], r["embedding_error"]) for r in embedding.embed(rows, "t", load, batch_rows=64).collect()}
+    assert found == {i: (None, "cannot read it") if i in (3, 77) else ([float(i)], None) for i in range(100)}
+
+
+def test_hashed_words_tell_texts_apart(spark):
+    one, two, none, same = embedding.hashed_words(["meters per day", "peaks per month", " ", "Meters, per day"])
+    assert abs(float((one * one).sum()) - 0.01) < 1e-6 and (one == same).all() and not none.any()
+    assert float((one * two).sum()) < 0.005
+
+
 def test_memory_remembers_and_finds(spark):
     schema = "run_id string, table_id string, business_description string, parsing_failed boolean, updated_at int"
     first = memory.remember(spark.createDataFrame([
