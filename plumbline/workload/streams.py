@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import feeds
+from ..session import shared_folder
+from ..streaming import feeds, retention
 from ..streaming.runner import drain, open_stream
 from . import query, table
 from .history import _ROUNDS_SQL, rounds
@@ -91,3 +94,38 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rows_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = drain(feeds.rows_by_day(_stream(spark, sf_dir, "events"), "ts"), "stream-rows-by-day", "update")
     return feeds.current(updates, ["day"]).select(F.col("day").cast("string").alias("day"), "n")
+
+
+@query(f"""
+    WITH RECURSIVE e AS (
+        SELECT DISTINCT user_id AS run_id, date_trunc('millisecond', ts) AS seen FROM events
+        WHERE {_OPERATION_SQL} IN ('insert', 'update', 'replace') AND {_STATUS_SQL} = 'pending'
+          AND {_OWNER_SQL} IS DISTINCT FROM 'webapp'),
+    s AS (
+        SELECT run_id, min(seen) AS seen FROM e GROUP BY 1
+        UNION ALL
+        SELECT s.run_id, min(e.seen) FROM s JOIN e ON e.run_id = s.run_id AND e.seen >= s.seen + INTERVAL 3 DAY GROUP BY s.run_id)
+    SELECT run_id, CAST(seen AS VARCHAR) AS shown_at FROM s
+""")
+def stream_pending_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed of pending runs in four landings, each a micro-batch or more; a run shows again three days after it was shown."""
+    events = table(spark, sf_dir, "events").where("ts is not null")
+    edges = _edges(events)
+    folder, checkpoint = shared_folder(spark, "landed"), shared_folder(spark, "pending-again")
+    found = None
+    for low, high in zip(edges[:-1], edges[1:]):
+        part = events.where((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high)))
+        part.write.mode("append").parquet(folder)
+        changes = open_stream(spark, folder, events.schema).select(
+            F.expr(_OPERATION_SQL).alias("operation"), F.expr(_STATUS_SQL).alias("status"),
+            F.expr(_OWNER_SQL).alias("run_source"), F.col("user_id").alias("run_id"), "ts",
+        )
+        found = drain(retention.pending_again(changes, "ts", 3 * 24 * 60), "pending-again", folder=checkpoint)
+    return found.select("run_id", F.col("shown_at").cast("string").alias("shown_at"))
+
+
+def _edges(events: DataFrame, parts: int = 4) -> list:
+    """Moments that cut the time of the events into equal parts."""
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (high - low) / parts
+    return [low + i * step for i in range(parts)] + [high + (step or datetime.timedelta(days=1))]
