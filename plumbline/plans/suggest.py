@@ -16,15 +16,22 @@ TARGET_CHECKS = 8
 SHORT_RUN, SHORT_PER_TABLE = 6, 2
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+#: Share of a text column's values that have to read as moments for it to count as a time column.
+READABLE = 0.95
 _DISCRETE = ("tinyint", "smallint", "int", "bigint", "string")
 
 
+def _numeric(kind: str) -> bool:
+    return kind in _NUMERIC or kind.startswith("decimal")
+
+
 def column_profile(tables: Mapping[str, DataFrame], sketch_size: int = 14) -> DataFrame:
-    """(table_id, ordinal, column, type, rows, nulls, distinct, lowest), one scan per table.
+    """(table_id, ordinal, column, type, rows, nulls, distinct, lowest, moments), one scan per table.
 
     ``distinct`` is a sketch estimate for whole numbers and texts, good to one
     percent and exact for few values: exact distinct counts of every column
-    would multiply the rows by the number of columns before the shuffle.
+    would multiply the rows by the number of columns before the shuffle.  ``moments`` are the values of a text
+    column that read as a time.
     """
     frames = []
     for table_id, df in tables.items():
@@ -35,14 +42,17 @@ def column_profile(tables: Mapping[str, DataFrame], sketch_size: int = 14) -> Da
             if kind in _DISCRETE:
                 value = F.col(f.name) if kind in ("bigint", "string") else F.col(f.name).cast("int")
                 aggregates.append(F.hll_sketch_estimate(F.hll_sketch_agg(value, sketch_size)).alias(f"d{i}"))
-            if kind in _NUMERIC:
+            if kind == "string":
+                aggregates.append(F.count(F.col(f.name).try_cast("timestamp_ntz")).alias(f"t{i}"))
+            if _numeric(kind):
                 aggregates.append(F.min(f.name).cast("double").alias(f"l{i}"))
             entries.append(
                 F.struct(
                     F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), F.lit(kind).alias("type"),
                     (F.col("rows") - F.col(f"v{i}")).alias("nulls"),
                     (F.col(f"d{i}") if kind in _DISCRETE else F.lit(None)).cast("bigint").alias("distinct"),
-                    (F.col(f"l{i}") if kind in _NUMERIC else F.lit(None)).cast("double").alias("lowest"),
+                    (F.col(f"l{i}") if _numeric(kind) else F.lit(None)).cast("double").alias("lowest"),
+                    (F.col(f"t{i}") if kind == "string" else F.lit(None)).cast("bigint").alias("moments"),
                 )
             )
         frames.append(
@@ -57,14 +67,20 @@ def suggest_checks(
 ) -> DataFrame:
     """Check specs from a column profile, most useful first.
 
-    The first time column gives freshness and rows per day, a discrete column
-    with nearly as many values as rows a duplicate check, one with few values
-    an accepted-values check, a number that is never negative a range check,
+    The best time column gives freshness and rows per day: the first timestamp, else the first date, else the first text
+    whose values read as moments.  A discrete column
+    with nearly as many values as rows gives a duplicate check, one with few values
+    an accepted-values check, a number that is never negative and no key a range check,
     and a column without nulls a null check.  Only columns of the profile can
     appear.  The profile has a row per column, so its windows are small.
     """
-    is_time = F.col("type").rlike("^(timestamp|date)")
-    times = W.partitionBy("table_id", is_time).orderBy("ordinal")
+    values = F.col("rows") - F.col("nulls")
+    kind_of_time = (
+        F.when(F.col("type").rlike("^timestamp"), 0).when(F.col("type") == "date", 1)
+        .when((F.col("type") == "string") & (values > 0) & (F.col("moments") >= READABLE * values), 2)
+    )
+    is_time = kind_of_time.isNotNull()
+    times = W.partitionBy("table_id", is_time).orderBy(kind_of_time, "ordinal")
     profile = profile.withColumn("_first_time", is_time & (F.row_number().over(times) == 1))
     first_time = F.col("_first_time")
     has_rows = F.col("rows") > 0
@@ -94,7 +110,7 @@ def suggest_checks(
              "SELECT ", name, ", COUNT(*) AS c FROM ", table, " GROUP BY 1 HAVING COUNT(*) > 1 LIMIT 10"),
         rule(few, 4, "distribution", "business_rule", "only known values",
              "SELECT ", name, ", COUNT(*) AS c FROM ", table, " GROUP BY 1 ORDER BY 2 DESC LIMIT 10"),
-        rule(F.col("type").isin("float", "double") & (F.col("lowest") >= 0), 5, "range", "business_rule",
+        rule((F.col("lowest") >= 0) & ~unique, 5, "range", "business_rule",
              "never negative", "SELECT COUNT(*) AS outside FROM ", table, " WHERE ", name, " < 0"),
         rule((F.col("nulls") == 0) & has_rows, 6, "nulls", "null_check", "no nulls",
              "SELECT COUNT(*) AS null_rows FROM ", table, " WHERE ", name, " IS NULL"),

@@ -208,7 +208,7 @@ _SUGGEST_SQL = f"""WITH {_profile_sql()},
                ' GROUP BY 1 ORDER BY 2 DESC LIMIT 10') FROM p
                WHERE type IN ('int', 'bigint', 'string') AND n > 0 AND d <= 20 AND NOT uniq
         UNION ALL SELECT *, 5, 'range', 'business_rule', concat('SELECT COUNT(*) AS outside FROM ', t, ' WHERE ', c, ' < 0')
-               FROM p WHERE type = 'double' AND low >= 0
+               FROM p WHERE low >= 0 AND NOT uniq
         UNION ALL SELECT *, 6, 'nulls', 'null_check', concat('SELECT COUNT(*) AS null_rows FROM ', t, ' WHERE ', c, ' IS NULL')
                FROM p WHERE nulls = 0 AND n > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY priority, ordinal) AS table_rank FROM s)

@@ -119,6 +119,31 @@ def test_suggestions_for_an_empty_table(spark):
     assert {r["kind"] for r in suggest.suggest_checks(profile).collect()} == {"freshness", "rows_by_day"}
 
 
+def test_time_columns_and_ranges_by_type(spark):
+    table = spark.createDataFrame(
+        [(i, "2024-01-0%d 10:00:00" % (1 + i % 9), "day %d" % i, dt.date(2024, 1, 1 + i), i % 3) for i in range(20)],
+        "k int, said string, note string, day date, n int",
+    ).withColumn("amount", F.expr("cast(n as decimal(12, 2))")).withColumn("debt", F.expr("cast(n - 2 as decimal(12, 2))"))
+
+    def kinds(df):
+        return {(r["kind"], r["column"]) for r in suggest.suggest_checks(suggest.column_profile({"t": df})).collect()}
+
+    found = kinds(table)
+    assert ("freshness", "day") in found and ("freshness", "said") not in found
+    assert {c for k, c in found if k == "range"} == {"n", "amount"}
+    found = kinds(table.drop("day"))
+    assert ("freshness", "said") in found and ("freshness", "note") not in found
+    table = table.drop("day")
+    result = quality_run(spark, {"t": table}, run_id="r", as_of="2024-01-31 09:00:00")
+    assert {r["status"] for r in result.executions.collect()} == {"ok"}
+
+
+def test_every_table_of_a_run_gets_checks(spark):
+    tables = {f"t{i}": spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string") for i in range(12)}
+    result = quality_run(spark, tables, run_id="r", as_of=AS_OF)
+    assert {s.target_table for s in result.specs} == set(tables) and len(result.specs) >= 24
+
+
 def test_report_reads_in_order(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     found = spark.createDataFrame(
