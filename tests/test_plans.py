@@ -7,7 +7,7 @@ from plumbline.operators import groups, runs
 
 SMALL = "/root/testdata/sf0.001"
 # These run models or numpy in Arrow batches; everything else is native.
-WITH_PYTHON = {"embed_text", "vector_topk", "vector_topk_all", "vector_topk_approx"}
+WITH_PYTHON = {"embed_text", "vector_topk", "vector_topk_all", "vector_topk_approx", "vector_index_whole"}
 BATCH = sorted(n for n in workload.load_all() if not n.startswith("stream_"))
 
 
@@ -41,7 +41,7 @@ def test_reduced_before_a_single_shuffle(spark, without_auto_broadcast, name):
 
 def test_only_bounded_frames_are_broadcast(spark, without_auto_broadcast):
     for name in BATCH:
-        if name in ("run_list", "vector_topk_approx"):
+        if name in ("run_list", "vector_topk_approx", "vector_index_whole"):
             continue
         assert "BroadcastExchange" not in plan_of(workload.load_all()[name].run(spark, SMALL)), name
     listed = plan_of(workload.load_all()["run_list"].run(spark, SMALL))
