@@ -43,12 +43,12 @@ class WaveletMatrix:
         v = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, blocks = [], []
         for bit in range(bits - 1, -1, -1):
-            ones = (v >> v.dtype.type(bit) & v.dtype.type(1)).astype(bool)
+            ones = (v & v.dtype.type(1 << bit)) != 0
             packed = np.packbits(ones, bitorder="little")
             planes.append(packed)
             sums = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.int64) if len(packed) else []
             blocks.append(np.r_[0, np.cumsum(sums)].astype(np.uint32))
-            v = np.concatenate([v[~ones], v[ones]])
+            v = np.concatenate([v.take(np.flatnonzero(~ones)), v.take(np.flatnonzero(ones))])
         return cls(len(ids), planes, blocks)
 
     def _ones(self, plane: int, at: np.ndarray) -> np.ndarray:
@@ -118,8 +118,8 @@ class WaveletMatrix:
         for bit, (packed, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             ones = np.unpackbits(packed, count=self.length, bitorder="little").astype(bool)
             up = np.empty_like(v)
-            up[~ones] = v[:zeros]
-            up[ones] = v[zeros:] | v.dtype.type(1 << bit)
+            up[np.flatnonzero(~ones)] = v[:zeros]
+            up[np.flatnonzero(ones)] = v[zeros:] | v.dtype.type(1 << bit)
             v = up
         return v
 

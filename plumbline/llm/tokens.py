@@ -17,12 +17,40 @@ from tokenizers import Tokenizer
 
 #: A blank between two characters that are no white space.
 _CUT = regex.compile(r" (?<=\S )(?=\S)")
+#: Letters below this are letters in every version of the tables of characters.
+_LATIN_END = "\u0250"
 #: Letters, and signs after them.
 _SIGNED = regex.compile(r"(\n?\p{L}+)([^\s\p{L}\p{N}]+)")
-#: Pieces of a generation of the memory, letters of a piece worth keeping, pieces of one call.
+#: Pieces of a generation of the memory, and letters of a piece worth keeping.
 REMEMBERED = 500_000
 LONG = 100
-TOGETHER = 200
+
+
+def _byte_letters() -> dict[str, str]:
+    """How a byte-level BPE writes bytes: printable ones as they are, the others as the letters from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(others)})
+
+
+def _latin(piece: str) -> bool:
+    return piece.isalpha() and (piece.isascii() or max(piece) < _LATIN_END)
+
+
+class Memory(dict):
+    """Ids by piece, learnt when first asked for; those of the generation before are taken over."""
+
+    def __init__(self, learn, before: dict[str, bytes]):
+        super().__init__()
+        self.learn, self.before = learn, before
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        if len(piece) <= LONG:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -41,14 +69,11 @@ class Encoder:
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.library = Tokenizer.from_file(path) if added else self.tokenizer
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.starts = {" ": np.zeros(self.tokenizer.get_vocab_size(), dtype=bool), "\n": np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)}
-        for token, i in vocabulary.items():
-            self.starts[" "][i] = token.startswith("Ġ")
-            self.starts["\n"][i] = token.startswith("Ċ")
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.size = self.tokenizer.get_vocab_size()
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.size)]
+        self.line = self.plain("\n")
+        self.memory = Memory(self._piece, {})
         self.signs: dict[str, bytes] = {}
 
     @classmethod
@@ -60,20 +85,26 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, lead: str, word: str) -> bytes:
+        """The ids of Latin letters after a blank or none: one piece to the merges, which it is given to at once."""
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        own = self.bytes
+        return b"".join([own[t.id] for t in self.model.tokenize(lead + written)])
+
     def _piece(self, piece: str) -> bytes:
-        return self.plain(piece if piece.startswith("\n") else " " + piece)
-
-    def _together(self, pieces: list[str], lead: str) -> None:
-        """Remember pieces that all start with ``lead``; the first id of each tells where it starts."""
-        lines = ["".join([p if lead == "\n" else " " + p for p in pieces[i:i + TOGETHER]]) for i in range(0, len(pieces), TOGETHER)]
-        for i, found in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
-            some, ids = pieces[i * TOGETHER:(i + 1) * TOGETHER], np.array(found.ids, dtype="<u4")
-            at = np.flatnonzero(self.starts[lead][ids])
-            if len(at) != len(some):
-                self.now.update((p, self._piece(p)) for p in some)
-                continue
-            raw, ends = ids.tobytes(), [*(4 * at).tolist()[1:], 4 * len(ids)]
-            self.now.update((p, raw[a:b]) for p, a, b in zip(some, (4 * at).tolist(), ends))
+        """The ids of a piece between blanks; a KeyError for one that may depend on what stands around it."""
+        if _latin(piece):
+            return self._word("Ġ", piece)
+        if m := _SIGNED.fullmatch(piece):
+            return self.memory[m[1]] + self._signs(m[2])
+        if piece[:1] != "\n":
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                raise KeyError(piece)
+            return self.plain(" " + piece)
+        body = piece[1:]
+        if not body or body[0].isspace() or body[-1].isspace():
+            raise KeyError(piece)
+        return self.line + self._word("", body) if _latin(body) else self.plain(piece)
 
     def _signs(self, signs: str) -> bytes:
         if signs not in self.signs:
@@ -82,30 +113,6 @@ class Encoder:
             self.signs[signs] = self.plain(signs)
         return self.signs[signs]
 
-    def _learn(self, missing: set[str]) -> set[str]:
-        """Remember pieces; those that may depend on what stands around them are returned instead."""
-        loose, signed, new = set(), [], set()
-        for p in missing:
-            line = p[:1] == "\n"
-            body = p[1:] if line else p
-            if not body or body[0].isspace() or body[-1].isspace():
-                loose.add(p)
-            elif p in self.before:
-                self.now[p] = self.before[p]
-            elif m := _SIGNED.fullmatch(p):
-                signed.append((p, m[1], m[2]))
-                if m[1] not in self.now:
-                    new.add(m[1])
-            else:
-                new.add(p)
-        for p in [p for p in new if p in self.before]:
-            self.now[p] = self.before[p]
-            new.discard(p)
-        self._together([p for p in new if p[0] != "\n"], " ")
-        self._together([p for p in new if p[0] == "\n"], "\n")
-        self.now.update((p, self.now[letters] + self._signs(signs)) for p, letters, signs in signed)
-        return loose
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if self.added is None:
@@ -118,34 +125,23 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.now) > REMEMBERED:
-            self.now, self.before = {}, self.now
-        now, rows, missing = self.now, [], set()
+        if len(self.memory) > REMEMBERED:
+            self.memory.before = {}
+            self.memory = Memory(self._piece, self.memory)
+        ids, out = self.memory.__getitem__, []
         for text in texts:
-            pieces = text.replace("\n", " \n").split(" ")
-            ids = list(map(now.get, pieces))
-            ids[0] = b""
-            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            missing.update([pieces[i] for i in gaps])
-            rows.append((pieces, ids, gaps))
-        loose = self._learn(missing)
-        out = []
-        for text, (pieces, ids, gaps) in zip(texts, rows):
-            first = pieces[0]
-            own = [pieces[i] for i in gaps]
-            if first[-1:].isspace() or (not first and len(pieces) > 1) or (loose and not loose.isdisjoint(own)):
+            first, *pieces = text.replace("\n", " \n").split(" ")
+            try:
+                if first[-1:].isspace() or (not first and pieces):
+                    out.append(self._loose(text))
+                else:
+                    out.append((self.plain(first) if first else b"") + b"".join(map(ids, pieces)))
+            except KeyError:
                 out.append(self._loose(text))
-                continue
-            for i, p in zip(gaps, own):
-                ids[i] = now[p]
-            out.append((self.plain(first) if first else b"") + b"".join(ids))
-        for p in missing:
-            if len(p) > LONG:
-                now.pop(p, None)
         return out
 
     def _loose(self, text: str) -> bytes:
         first, *rest = _CUT.split(text)
         return self.plain(first) + b"".join([
-            (None if p.startswith("\n") else self.now.get(p)) or self.plain(" " + p) for p in rest
+            (None if p.startswith("\n") else self.memory.get(p)) or self.plain(" " + p) for p in rest
         ])
