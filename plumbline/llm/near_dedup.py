@@ -27,6 +27,9 @@ SEED = 42
 BLOCK = 1 << 16
 #: Lists of so many fingerprints are first linked to a few of their own.
 CROWD = 32
+#: Words of 64 parities that sketch a set of shingles, and rare shingles a node carries to tell where a pair meets first.
+PARITIES = 8
+CARRIED = 8
 
 
 @dataclass(frozen=True)
@@ -60,6 +63,8 @@ class Plan:
         return [c for g in self.groups for c in combinations(g, self.posting_bytes)]
 
 
+PARITY_COLUMNS = [f"parity{i}" for i in range(PARITIES)]
+
 #: 3 differing bits spoil at most 3 of 8 bytes: 5 are shared, 3 of them in one half.
 NARROW = Plan(words=3, lanes=1, groups=((0, 1, 2, 3), (4, 5, 6, 7)), posting_bytes=3, max_bits=3)
 
@@ -100,6 +105,17 @@ def majorities(h: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
+def parities(once: np.ndarray) -> list[int]:
+    """Whether an odd number of distinct hashes falls into each of some cells, as signed longs.
+
+    Every hash that only one of two sets has turns one cell over, so sets differ in at least as many
+    hashes as their parities differ in bits.
+    """
+    cells = (_mixed(once, 1) >> np.uint64(64 - (64 * PARITIES - 1).bit_length())).astype(np.int64)
+    odd = np.bincount(cells, minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
+
+
 def fingerprint(text: bytes, words: int = 3, lanes: int = 1, distinct: bool = False) -> list[int]:
     """Lanes of the fingerprint of a text, over its shingles with or without their repeats."""
     h = hashes(text, words)
@@ -109,24 +125,30 @@ def fingerprint(text: bytes, words: int = 3, lanes: int = 1, distinct: bool = Fa
 def fingerprints(docs: DataFrame, plan: Plan, content: bool = False) -> DataFrame:
     """(doc_id, lane0, lane1, ...) of every row; a null text is an empty one.
 
-    With ``content`` a further column has a digest of the distinct shingles.
+    With ``content`` further columns have a digest of the distinct shingles, their number and their parities.
     """
     names = [f"lane{i}" for i in range(plan.lanes)]
+    more = ["content", "shingle_count", *PARITY_COLUMNS] if content else []
     words, lanes, distinct = plan.words, plan.lanes, plan.distinct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            prints, digests = [], []
+            prints, digests, sizes, sketches = [], [], [], []
             for text in utf8(part.column(1)):
                 h = hashes(text, words)
                 once = np.unique(h) if content or distinct else h
                 prints.append(majorities(once if distinct else h, lanes))
-                digests.append(xxhash.xxh3_128_digest(once.astype("<u8").tobytes()) if content else None)
+                if content:
+                    digests.append(xxhash.xxh3_128_digest(once.astype("<u8").tobytes()))
+                    sizes.append(len(once))
+                    sketches.append(parities(once))
             columns = [pa.array([p[i] for p in prints], pa.int64()) for i in range(lanes)]
-            columns += [pa.array(digests, pa.binary())] * content
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names, *["content"] * content])
+            if content:
+                columns += [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())]
+                columns += [pa.array([p[i] for p in sketches], pa.int64()) for i in range(PARITIES)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names, *more])
 
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", content binary" * content
+    schema = ", ".join(["doc_id long", *[f"{n} long" for n in names], *[f"{n} {'binary' if n == 'content' else 'long'}" for n in more]])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -166,8 +188,22 @@ def _sides(listed: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _compared(plan: Plan) -> tuple[Column, Column]:
-    """Of the two sides of a pair: whether tally and differing bits suffice, and the first shared posting."""
+def _can_be_alike(least: float) -> Column:
+    """Of the two sides of a pair: whether sizes and parities leave room for a Jaccard similarity of ``least``.
+
+    Never false of a pair that has it: sizes are then within ``least`` of each other, and of both sets
+    together at most (1 - least) / (1 + least) stand in one alone.
+    """
+    n, m = F.col("l_shingle_count"), F.col("r_shingle_count")
+    differing = sum((F.bit_count(F.col(f"l_{c}").bitwiseXOR(F.col(f"r_{c}"))) for c in PARITY_COLUMNS), F.lit(0))
+    return (F.least(n, m) + 1e-6 >= F.greatest(n, m) * least) & (differing <= (n + m) * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def _compared(plan: Plan, least: float | None = None) -> tuple[Column, Column]:
+    """Of the two sides of a pair: whether tally and differing bits suffice, and the first shared posting.
+
+    With ``least`` the sets of shingles must be able to have that similarity too.
+    """
     tally, bits, first = F.lit(0), F.lit(0), []
     for i in range(plan.lanes):
         differing = F.col(f"l_lane{i}").bitwiseXOR(F.col(f"r_lane{i}"))
@@ -177,17 +213,18 @@ def _compared(plan: Plan) -> tuple[Column, Column]:
             mask = mask + F.when(same, 1 << b).otherwise(0)
         tally, bits = tally + F.bit_count(mask), bits + F.bit_count(differing)
         first.append(F.element_at(_first_posting(plan, i), mask + 1))
-    return (bits <= plan.max_bits) & (tally >= plan.min_shared), F.coalesce(*first)
+    close = (bits <= plan.max_bits) & (tally >= plan.min_shared)
+    return close if least is None else close & _can_be_alike(least), F.coalesce(*first)
 
 
-def crowd_links(classes: DataFrame, plan: Plan, crowd: int = CROWD) -> DataFrame:
+def crowd_links(classes: DataFrame, plan: Plan, crowd: int = CROWD, least: float | None = None) -> DataFrame:
     """Those pairs of ``candidate_links`` that join members of a long list to one of its heads.
 
     A list of ``crowd`` or more fingerprints has two heads, the first by node and by a hash of the
     node.  There are at most two pairs per row of the index, however long a list is, and a large
     group of fingerprints that are close to each other is all but joined by them.
     """
-    lanes = [f"lane{i}" for i in range(plan.lanes)]
+    compared = [c for c in classes.columns if c != "node"]
     listed = _postings(classes, plan).select("key", "node")
     heads = F.array_distinct(F.array(F.min("node"), F.min_by("node", F.xxhash64("node"))))
     long_lists = listed.groupBy("key").agg(F.count("*").alias("n"), heads.alias("heads")).where(F.col("n") >= crowd)
@@ -195,25 +232,30 @@ def crowd_links(classes: DataFrame, plan: Plan, crowd: int = CROWD) -> DataFrame
         listed.join(long_lists.select("key", F.explode("heads").alias("head")), "key").where("node <> head")
         .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     )
-    left, right = _sides(classes, *lanes)
-    return pairs.join(left, "a").join(right, "b").where(_compared(plan)[0]).select("a", "b")
+    left, right = _sides(classes, *compared)
+    return pairs.join(left, "a").join(right, "b").where(_compared(plan, least)[0]).select("a", "b")
 
 
-def candidate_links(classes: DataFrame, plan: Plan, crowd: int = CROWD, rare=None) -> DataFrame:
+def candidate_links(
+    classes: DataFrame, plan: Plan, crowd: int = CROWD, rare=None, least: float | None = None
+) -> DataFrame:
     """Pairs (a, b) of nodes of different roots whose fingerprints differ in at most ``max_bits`` bits, each pair once.
 
     ``classes`` has one row per class: ``node``, its lanes and ``root`` (left out:
     each is its own).  Roots, tally and verification stand in the join condition, so no other
     pair leaves the join; AQE splits the list of a posting that many fingerprints share.
 
-    With ``rare`` (nodes -> rows of node and shingle) the members of lists of ``crowd`` or more meet
-    at their rare shingles instead, under the same conditions: pairs without a common one are left
-    out, so it must give a shingle in common to every pair that the verification would bear out.
+    With ``least`` pairs whose sizes and parities rule out that similarity do not leave the join either.
+
+    With ``rare`` (nodes -> rows of node, shingle, the shingles from there on and the first rare ones) the members of lists of
+    ``crowd`` or more meet at their rare shingles instead, under the same conditions: pairs without a common one are left
+    out, so it must give a shingle in common to every pair that the verification would bear out.  A pair leaves
+    the join at its first common shingle if that is among those carried, and only if as many as it needs can follow.
     """
     if "root" not in classes.columns:
         classes = classes.withColumn("root", F.col("node"))
     listed = _postings(classes, plan)
-    close, first = _compared(plan)
+    close, first = _compared(plan, least)
     apart = (F.col("a") < F.col("b")) & (F.col("l_root") != F.col("r_root")) & close
     crowded = None
     if rare is not None:
@@ -230,8 +272,13 @@ def candidate_links(classes: DataFrame, plan: Plan, crowd: int = CROWD, rare=Non
     # The first shared posting may be that of a crowded list: any short one will do, and pairs are made distinct.
     short = left.join(right.drop("r_posting"), (F.col("l_key") == F.col("r_key")) & apart)
     kept = [c for c in classes.columns if c != "node"]
-    left, right = _sides(rare(stored(members, "members")).join(classes, "node"), "shingle", *kept)
-    long = left.join(right, (F.col("l_shingle") == F.col("r_shingle")) & apart & first.isNotNull())
+    left, right = _sides(rare(stored(members, "members")).join(classes, "node"), "shingle", "ahead", "carried", *kept)
+    meeting = F.array_intersect("l_carried", "r_carried")
+    here = (F.size(meeting) == 0) | (F.get(meeting, F.lit(0)) == F.col("l_shingle"))
+    if least is not None:
+        needed = (F.col("l_shingle_count") + F.col("r_shingle_count")) * (least / (1 + least)) - 1e-6
+        here = (F.least("l_ahead", "r_ahead") >= needed) & here
+    long = left.join(right, (F.col("l_shingle") == F.col("r_shingle")) & apart & first.isNotNull() & here)
     return short.select("a", "b").union(long.select("a", "b")).distinct()
 
 
@@ -256,14 +303,17 @@ def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: in
         return verify(docs, stored(links, "pairs")) if verify else links
 
     alike = [*lanes, "content"] if verify else lanes
+    facts = ["shingle_count", *PARITY_COLUMNS] if verify else []
+    least = getattr(verify, "least", None)
     prints = stored(fingerprints(docs, plan, verify is not None), "prints")
-    classes = stored(prints.groupBy(*alike).agg(F.min("doc_id").alias("node")), "classes")
-    named = classes.where("node is not null").select("node", *lanes)
-    crowds = components(borne_out(crowd_links(named, plan, crowd)))
+    same = [F.first(c).alias(c) for c in facts]  # alike in all rows of a class
+    classes = stored(prints.groupBy(*alike).agg(F.min("doc_id").alias("node"), *same), "classes")
+    named = classes.where("node is not null").select("node", *lanes, *facts)
+    crowds = components(borne_out(crowd_links(named, plan, crowd, least)))
     grouped = stored(
-        named.join(crowds, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *lanes), "crowds"
+        named.join(crowds, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *lanes, *facts), "crowds"
     )
-    links = borne_out(candidate_links(grouped, plan, crowd, rare and (lambda nodes: rare(docs, nodes))))
+    links = borne_out(candidate_links(grouped, plan, crowd, rare and (lambda nodes: rare(docs, nodes)), least))
     roots = components(links.union(crowds.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = classes.join(roots, "node", "left").select(
         *alike, F.coalesce("root", "node").alias("component_id")
@@ -291,6 +341,7 @@ def verified_by_shingles(words: int, least: float):
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
 
+    verify.least = least  # lets pairs that cannot have it be left out beforehand
     return verify
 
 
@@ -307,7 +358,10 @@ def rare_shingles(words: int, least: float):
             F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("found")
         )
         n = F.size("found")
-        first = F.slice("found", 1, (n - F.ceil(n * least - 1e-6) + 1).cast("int"))
-        return ordered.select("node", F.explode(first).alias("one")).select("node", "one.shingle")
+        first = F.slice("found", 1, (n - F.ceil(n * least - 1e-6) + 1).cast("int")).getField("shingle")
+        chosen = ordered.select("node", n.alias("n"), first.alias("first"))
+        return chosen.select("node", "n", F.slice("first", 1, CARRIED).alias("carried"), F.posexplode("first").alias("place", "shingle")).select(
+            "node", "shingle", (F.col("n") - F.col("place")).alias("ahead"), "carried"
+        )
 
     return rare

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -210,3 +211,58 @@ def test_pairs_at_the_least_similarity_meet():
         shared = max(sum((d >> 8 * i & 255) == 0 for i in range(8)) for d in differing)
         missed += shared < plan.least_shared or sum(d.bit_count() for d in differing) > plan.max_bits
     assert missed <= 0.015 * pairs, missed
+
+
+def test_sizes_and_parities_never_rule_out_a_similar_pair(spark):
+    """Made pairs of every similarity: all of 0.8 and more may be alike, of those below 0.6 hardly any."""
+    rng, rows, alike = np.random.default_rng(5), [], {}
+    for i in range(600):
+        n = int(rng.integers(1, 600))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        kept = a[: int(n * rng.uniform(0.3, 1))]
+        b = np.unique(np.r_[kept, rng.integers(0, 2**63, int(rng.uniform(0, 0.3) * n)).astype(np.uint64)])
+        a = np.unique(a)
+        common = len(np.intersect1d(a, b))
+        alike[i] = common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
+        rows.append((i, len(a), *near_dedup.parities(a), len(b), *near_dedup.parities(b)))
+    names = ["shingle_count", *near_dedup.PARITY_COLUMNS]
+    made = spark.createDataFrame(rows, ["i", *[f"l_{c}" for c in names], *[f"r_{c}" for c in names]])
+    found = {r.i for r in made.where(near_dedup._can_be_alike(0.8)).select("i").collect()}
+    assert {i for i, s in alike.items() if s >= 0.8} <= found
+    low = [i for i, s in alike.items() if s < 0.6]
+    assert len(low) > 100 and len(found & set(low)) <= 0.05 * len(low)
+
+
+def test_a_pair_leaves_the_join_at_its_first_common_shingle(spark):
+    """Texts of one large group: the pairs of the join over rare shingles, before they are made distinct."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(120, 1 + i % 3, replace=False):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = docs.select(F.col("doc_id").alias("node"))
+    rare = near_dedup.rare_shingles(5, 0.8)(docs, nodes).collect()
+    held = {}
+    for r in rare:
+        held.setdefault(r.shingle, []).append(r)
+    emitted = [
+        (x.node, y.node) for own in held.values() for x in own for y in own
+        if x.node < y.node and next(iter([s for s in x.carried if s in y.carried]), x.shingle) == x.shingle
+    ]
+    met = {(x.node, y.node) for own in held.values() for x in own for y in own if x.node < y.node}
+    assert set(emitted) == met and len(emitted) <= 1.2 * len(met)
+    sets = [set(near_dedup.shingles(t.encode(), 5)) for t in texts]
+    expected = {(a, b) for a in range(60) for b in range(a + 1, 60) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert expected <= met
+    got = near_dedup.near_duplicates(
+        docs, corpus_pipeline.WIDE, near_dedup.verified_by_shingles(5, 0.8), 8, near_dedup.rare_shingles(5, 0.8)
+    )
+    root = list(range(60))
+    for _ in range(60):
+        for a, b in expected:
+            root[a] = root[b] = min(root[a], root[b])
+    assert expected and {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root))
