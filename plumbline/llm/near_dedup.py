@@ -29,7 +29,7 @@ BLOCK = 1 << 16
 CROWD = 32
 #: Words of 64 parities that sketch a set of shingles, and rare shingles a node carries to tell where a pair meets first.
 PARITIES = 8
-CARRIED = 8
+CARRIED = 16
 
 
 @dataclass(frozen=True)
@@ -358,9 +358,11 @@ def rare_shingles(words: int, least: float):
             F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("found")
         )
         n = F.size("found")
-        first = F.slice("found", 1, (n - F.ceil(n * least - 1e-6) + 1).cast("int")).getField("shingle")
+        first = F.slice("found", 1, (n - F.ceil(n * least - 1e-6) + 1).cast("int"))
         chosen = ordered.select("node", n.alias("n"), first.alias("first"))
-        return chosen.select("node", "n", F.slice("first", 1, CARRIED).alias("carried"), F.posexplode("first").alias("place", "shingle")).select(
+        shared = F.filter("first", lambda one: one.texts > 1).getField("shingle")  # the others meet nothing
+        placed = F.posexplode(F.col("first").getField("shingle")).alias("place", "shingle")
+        return chosen.select("node", "n", F.slice(shared, 1, CARRIED).alias("carried"), placed).select(
             "node", "shingle", (F.col("n") - F.col("place")).alias("ahead"), "carried"
         )
 
