@@ -29,6 +29,8 @@ BLOCK = 1 << 16
 CROWD = 32
 #: Words of 64 parities that sketch a set of shingles, and rare shingles a node carries to tell where a pair meets first.
 PARITIES = 8
+#: Cells, by a shingle's lowest bits, that tell how often shingles occur; their counts travel with the tasks (1 MB).
+CELLS = 1 << 18
 CARRIED = 16
 
 
@@ -349,20 +351,32 @@ def rare_shingles(words: int, least: float):
     """The rarest shingles of texts, one of which any two texts with a Jaccard similarity of ``least`` share.
 
     Of n distinct shingles two such texts have at least ``least`` n in common, so in one order
-    of all shingles (here by how many of the nodes hold them) their first n - ceil(least n) + 1 meet.
+    of all shingles (here by how often those of their cell occur among the nodes) their first n - ceil(least n) + 1 meet.
     """
     def rare(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-        held = stored(shingle_sets(docs, nodes, words), "held").select("node", F.explode("shingles").alias("shingle"))
-        spread = held.groupBy("shingle").agg(F.count("*").alias("texts"))
-        ordered = held.join(spread, "shingle").groupBy("node").agg(
-            F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("found")
-        )
-        n = F.size("found")
-        first = F.slice("found", 1, (n - F.ceil(n * least - 1e-6) + 1).cast("int"))
-        chosen = ordered.select("node", n.alias("n"), first.alias("first"))
-        shared = F.filter("first", lambda one: one.texts > 1).getField("shingle")  # the others meet nothing
-        placed = F.posexplode(F.col("first").getField("shingle")).alias("place", "shingle")
-        return chosen.select("node", "n", F.slice(shared, 1, CARRIED).alias("carried"), placed).select(
+        held = stored(shingle_sets(docs, nodes, words), "held")
+        exploded = held.select(F.explode("shingles").alias("shingle"))
+        found = exploded.groupBy(F.col("shingle").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("n")).toArrow()
+        spread = np.zeros(CELLS, dtype=np.uint32)
+        spread[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                firsts, carried, sizes = [], [], []
+                for row in part.column("shingles"):
+                    own = np.array(row.values, dtype=np.int64)
+                    n, often = len(own), spread[own & (CELLS - 1)]
+                    order = np.lexsort((own, often))[: n - int(np.ceil(n * least - 1e-6)) + 1]
+                    firsts.append(own[order])
+                    carried.append(own[order[often[order] > 1]][:CARRIED])  # the others meet nothing
+                    sizes.append(n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(carried, pa.list_(pa.int64()))],
+                    names=["node", "n", "first", "carried"],
+                )
+
+        chosen = held.mapInArrow(run, "node long, n long, first array<long>, carried array<long>")
+        return chosen.select("node", "n", "carried", F.posexplode("first").alias("place", "shingle")).select(
             "node", "shingle", (F.col("n") - F.col("place")).alias("ahead"), "carried"
         )
 
