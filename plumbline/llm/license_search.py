@@ -8,7 +8,8 @@ bounded-error matching of the regex library verifies the edits and reports the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -56,9 +57,9 @@ class Notice:
         object.__setattr__(self, "pattern", regex.compile(rf"(?b)(?<= )(?:{regex.escape(self.text)}){{e<={self.edits}}}(?= )".encode()))
 
 
-def notices(share: float = 0.1) -> list[Notice]:
-    """The notices with a bound of one edit for every ``1 / share`` letters."""
-    return [Notice(t, label, max(1, int(len(t) * share))) for t, label in NOTICES.items()]
+def notices(share: float = 0.1, labels: Mapping[str, str] = NOTICES) -> list[Notice]:
+    """The notices (and their labels) with a bound of one edit for every ``1 / share`` letters."""
+    return [Notice(t, label, max(1, int(len(t) * share))) for t, label in labels.items()]
 
 
 def places(text: bytes, phrase: bytes) -> list[int]:
@@ -70,32 +71,31 @@ def places(text: bytes, phrase: bytes) -> list[int]:
 
 
 def fuzzy(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
-    """(start, end, edits) of the notice in a text of words between single blanks, blanks at both ends."""
-    length, reach, windows = len(notice.text), notice.edits, []
+    """(start, end, edits) of the notice in a text of words between single blanks, blanks at both ends.
+
+    Every candidate is verified in a window of its own, which is too short for two notices, so the work grows with the
+    candidates.  Of matches that overlap the one of fewer edits stays, then the first.
+    """
+    length, reach, places = len(notice.text), notice.edits, set()
     for piece, inside in notice.pieces:
         at = text.find(piece)
         while at >= 0:
-            windows.append((max(0, at - inside - reach - 1), at - inside + length + reach + 2))
+            places.add(at - inside)
             at = text.find(piece, at + 1)
-    found, ready = [], -1
-    for start, end in _merged(windows):
-        for m in notice.pattern.finditer(text, max(start, ready), end):
-            a, b = m.span()
-            ready = b
-            found.append((a, b, sum(m.fuzzy_counts)))
+    whole, matches = notice.text.encode(), set()
+    for at in places:
+        if at > 0 and text.startswith(whole, at) and text[at - 1:at] == text[at + length:at + length + 1] == b" ":
+            matches.add((0, at, at + length))
+        elif m := notice.pattern.search(text, max(0, at - reach - 1), at + length + reach + 2):
+            matches.add((sum(m.fuzzy_counts), *m.span()))
+    found: list[tuple[int, int, int]] = []
+    for edits, a, b in sorted(matches):
+        i = bisect_left(found, (a, b))
+        if (i == 0 or found[i - 1][1] <= a) and (i == len(found) or b <= found[i][0]):
+            found.insert(i, (a, b, edits))
     return found
 
 
-def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(windows):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
-
-
 def scan_text(text: bytes, wanted: list[Notice]) -> dict:
     """Words, exact places and fuzzy spans (label, first word, last word, edits) of one text."""
     found = text.translate(_WORDS).split()
@@ -108,10 +108,12 @@ def scan_text(text: bytes, wanted: list[Notice]) -> dict:
             base.add(label)
     spans, score = [], 1.0 if base else 0.0
     for notice in wanted:
+        first, before = -1, 0
         for a, b, edits in fuzzy(flat, notice):
-            first = flat.count(b" ", 0, a) - 1
+            first, before = first + flat.count(b" ", before, a), a
             spans.append({"label": notice.label, "first": first, "last": first + flat.count(b" ", a, b), "edits": edits})
             score = max(score, 1 - edits / len(notice.text))
+    spans.sort(key=lambda s: (s["first"], s["last"], s["label"]))
     word = sorted(flat.count(b" ", 0, at) for at in (min(starts), max(starts))) if starts else [None, None]
     return {
         "n_words": len(found), "n_base": len(starts), "first_word": word[0], "last_word": word[1],
@@ -127,16 +129,17 @@ _FIELDS = {
 }
 
 
-def scan(docs: DataFrame, share: float = 0.1) -> DataFrame:
+def scan(docs: DataFrame, share: float = 0.1, labels: Mapping[str, str] = NOTICES) -> DataFrame:
     """Licence words of every row of ``docs`` (doc_id, text), with the spans of fuzzy matches in words.
 
+    ``labels`` are the notices to search (words between single blanks, lower case) with their labels.
     ``score`` is 1 for an exact base phrase, else the share of letters the best fuzzy match
     kept, else 0.  A null or empty text has no words, no labels and score 0.  Rows are read
     one by one, so repeated ids, null ids and other columns do not matter; an empty table
     gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = notices(share)
+        wanted = notices(share, labels)
         for part in slices(batches):
             rows = [scan_text(t, wanted) for t in utf8(part.column(1))]
             columns = [pa.array([r[n] for r in rows], t) for n, t in _FIELDS.items()]

@@ -43,7 +43,9 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_license_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_search.scan(table(spark, sf_dir, "documents")).drop("spans")
+    found = license_search.scan(table(spark, sf_dir, "documents"))
+    parts = F.transform("spans", lambda s: F.concat_ws(":", s["label"], *[s[c].cast("string") for c in ("first", "last", "edits")]))
+    return found.withColumn("spans", F.array_join(parts, ","))
 
 
 @query("""

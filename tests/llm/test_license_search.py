@@ -68,3 +68,26 @@ def test_every_text_within_the_bound_is_a_candidate():
 
 def test_empty_table(spark):
     assert license_search.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_notices_side_by_side_are_all_reported(spark):
+    got = scan(spark, [
+        "under the mit licence under the mit license", "gnu general public licence gnu general public license",
+        "under the mit license " * 3 + "x under the mit licens",
+    ])
+    assert [[(s.label, s.first, s.last, s.edits) for s in r.spans] for r in got[:2]] == [
+        [("mit", 0, 3, 1), ("mit", 4, 7, 0)], [("gpl", 0, 3, 1), ("gpl", 4, 7, 0)],
+    ]
+    assert [(s.first, s.edits) for s in got[2].spans] == [(0, 0), (4, 0), (8, 0), (13, 1)]
+
+
+def test_many_repeats_are_all_found_in_one_pass():
+    notice = license_search.Notice("under the mit license", "mit", 2)
+    flat = b" " + b"under the mit licence " * 20_000
+    assert len(license_search.fuzzy(flat, notice)) == 20_000
+
+
+def test_notices_of_the_caller(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved by Example")], SCHEMA)
+    row = license_search.scan(docs, labels={"all rights reserved by": "reserved"}).first()
+    assert row.labels == "reserved" and [(s.first, s.last) for s in row.spans] == [(0, 3)]
