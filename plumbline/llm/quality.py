@@ -85,7 +85,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Training = Training()) -
     """Weights learned from at most ``max_rows`` labelled texts, those of the smallest hashed ids.
 
     The sample is read by its ids (a bounded list), turned into features where the texts
-    lie, and learned from in one task; only the fixed number of weights comes back.
+    lie, and learned from in one task, one row of an id (of rows that repeat it the one whose
+    features sort first); only the fixed number of weights comes back.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.where("label in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -116,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Training = Training()) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = texts.join(F.broadcast(sample), "doc_id").select("place", "label", "text")
     vectors = chosen.mapInArrow(hashed, "place long, label int, at array<long>, x array<double>")
-    learned = vectors.repartition(1).sortWithinPartitions("place").mapInArrow(learn, "at long, weight double").toArrow()
+    one = vectors.groupBy("place", "label").agg(F.min(F.struct("at", "x")).alias("row")).select("place", "label", "row.at", "row.x")
+    learned = one.repartition(1).sortWithinPartitions("place").mapInArrow(learn, "at long, weight double").toArrow()
     weights = np.zeros(1 << settings.bits)
     weights[learned["at"].to_numpy()] = learned["weight"].to_numpy()
     return weights
@@ -152,7 +154,7 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Training = Training()
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text).
 
     ``labels`` has doc_id and quality (0 or 1; other values and null ids are ignored, of
-    repeated ids the larger label counts).  Without any label every score is one half.
+    repeated ids the larger label and one text count).  Without any label every score is one half.
     Null and empty texts get the score of the bias, null ids are scored and not held out,
     repeated rows get equal scores; other columns are ignored.
     """

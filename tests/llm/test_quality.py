@@ -60,3 +60,11 @@ def test_blocks_do_not_change_features(monkeypatch):
     monkeypatch.setattr(quality, "BLOCK", 7)
     parts = quality.features(text, 18)
     assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+
+
+def test_an_id_on_many_rows_counts_once(spark):
+    rows = [(1, f"text w{i}") for i in range(500)] + [(4, "bad one")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (4, 0)], LABELS)
+    weights = quality.train(docs, labels, quality.Training(max_rows=2, l1=0.0))
+    assert 0 < np.count_nonzero(weights) <= 8
+    assert (weights == quality.train(docs.repartition(5), labels, quality.Training(max_rows=2, l1=0.0))).all()
