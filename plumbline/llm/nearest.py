@@ -93,7 +93,7 @@ class Segment:
         """(query, ids, scores, verified) of the best ``k`` verified vectors, but for the query's own."""
         for q, (query, at) in enumerate(zip(query_ids.tolist(), self.candidates(queries))):
             at = at[self.ids[at] != query]
-            scores = self.vectors[at] @ queries[q]
+            scores = (self.vectors[at] * queries[q]).sum(axis=1)  # row by row: equal vectors tie
             if len(at) > k:
                 edge = np.partition(scores, len(at) - k)[len(at) - k]
                 keep = scores >= edge
@@ -120,14 +120,17 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, how: Search = Sear
 
     ``index`` and ``queries`` have vec_id and embedding.  Vectors that are null, zero or hold null
     or non-finite components take no part; a query without such faults finds min(k, others) rows.
-    All vectors must have the dimension of the first one; ties go to the smaller vec_id; a row
+    The dimension is the commonest one of the index (of equally common ones the smallest), and vectors of
+    others take no part; ties go to the smaller vec_id; a row
     that repeats a vec_id is a candidate of its own.  Other columns are ignored; empty tables give
     an empty result.  Each segment of the index meets the queries in blocks.
     """
-    rows = stored(usable(index), "vectors")
-    count, longest = rows.agg(F.count("*"), F.max("length")).first()
+    rows, dims = stored(usable(index), "vectors"), F.size("embedding")
+    shapes = rows.groupBy(dims.alias("dims")).agg(F.count("*").alias("n"), F.max("length").alias("longest"))
+    size, count, longest = shapes.orderBy(F.desc("n"), "dims").first() or (0, 0, None)
+    rows = rows.where(dims == size)
     segments = max(1, -(-count // how.segment))
-    asked = stored(usable(queries).select("vec_id", "embedding"), "queries")
+    asked = stored(usable(queries).where(dims == size).select("vec_id", "embedding"), "queries")
     blocks = max(1, -(-asked.count() // how.block))
     longest = float(longest or 1.0)
 

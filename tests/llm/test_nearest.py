@@ -64,3 +64,21 @@ def test_few_and_no_vectors(spark):
     assert [tuple(r)[:4] for r in nearest.search(frame, frame.where("vec_id = 20")).collect()] == [(20, 1, 3, -5.0)]
     assert nearest.search(frame.limit(0), frame).count() == 0
     assert nearest.search(frame, frame.limit(0)).count() == 0
+
+
+def test_vectors_of_another_dimension_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(5)] + [(10, [9.0]), (11, [9.0, 9.0, 9.0]), (12, [])]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest.search(frame, frame.where("vec_id in (2, 10, 11)"), 2).collect())
+    assert got == [(2, 1, 4, 9.0), (2, 2, 3, 7.0)]
+
+
+def test_equal_vectors_of_any_numbers_tie():
+    rng = np.random.default_rng(5)
+    for n in range(3, 40):
+        x = rng.standard_normal((n, 24))
+        x[1::2] = x[1]
+        segment = nearest.Segment(np.arange(n), x, float(np.sqrt((x ** 2).sum(axis=1)).max()), nearest.Search())
+        for _, ids, scores, _ in segment.nearest(np.array([-1]), x[:1], n):
+            odd = [s for i, s in zip(ids.tolist(), scores.tolist()) if i % 2]
+            assert len(set(odd)) == 1
