@@ -28,16 +28,19 @@ END_OF_TEXT = 2
 
 @dataclass(frozen=True)
 class Program:
-    """``rounds`` of ``prices`` configurations each; a step covers at most ``step`` of a length's demand.
+    """How far prices move: they start as the ``power`` of a length's share of a sequence and fall at ``rate`` as demand is met.
 
-    Prices start as the ``power`` of a length's share of a sequence and fall at ``rate`` as its demand is met.
+    A price round covers at most ``step`` of what a length still lacks by the configuration made for it, and leaves more
+    than ``waste`` of a sequence empty in none; ``waste`` grows by ``growth`` once no configuration is that full.
+    Rounds end when less than ``gap`` of all tokens is lacking, which best fit places.
     """
 
-    rounds: int = 2
-    prices: int = 120
     step: float = 0.5
     rate: float = 0.5
     power: float = 2.0
+    waste: float = 1 / 4096
+    growth: float = 4.0
+    gap: float = 0.001
 
 
 def best_configuration(lengths: np.ndarray, values: np.ndarray, supply: np.ndarray, limit: int) -> dict[int, int]:
@@ -64,25 +67,70 @@ def best_configuration(lengths: np.ndarray, values: np.ndarray, supply: np.ndarr
     return dict(found)
 
 
+def best_values(lengths: np.ndarray, values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """By room: the value of its most valuable filling, and the place of one length in it (-1: a unit stays empty)."""
+    best, last = np.zeros(limit + 1), np.full(limit + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(limit + 1), side="right")
+    for room in range(1, limit + 1):
+        best[room] = best[room - 1]
+        if k := fitting[room]:
+            value = best[room - lengths[:k]] + values[:k]
+            at = int(value.argmax())
+            if value[at] > best[room] + 1e-12:
+                best[room], last[room] = value[at], at
+    return best, last
+
+
+def configuration(first: int, lengths: np.ndarray, last: np.ndarray, limit: int) -> tuple[dict[int, int], int]:
+    """The best filling that holds the length at place ``first``, by places, and the room it leaves."""
+    found, room, empty = {first: 1}, limit - int(lengths[first]), 0
+    while room > 0:
+        at = int(last[room])
+        if at < 0:
+            room, empty = room - 1, empty + 1
+        else:
+            found[at] = found.get(at, 0) + 1
+            room -= int(lengths[at])
+    return found, empty
+
+
 def fractional(histogram: dict[int, int], limit: int, program: Program) -> list[tuple[dict[int, int], float]]:
-    """Configurations with their amounts in the program's solution, by multiplicative weights."""
+    """Configurations with their amounts in the program's solution, by multiplicative weights.
+
+    One knapsack table prices the best configuration of every length; where all of them want more pieces than there are,
+    a knapsack within the supply prices the next one.  Rounds go on until the gap is reached or less than one piece of any length lacks.
+    """
     lengths = np.array(sorted(histogram))
-    demand = np.array([histogram[l] for l in lengths.tolist()])
-    place = {l: i for i, l in enumerate(lengths.tolist())}
-    covered = np.zeros(len(lengths))
-    amounts: dict[tuple, float] = {}
-    for _ in range(program.prices):
-        open_ = covered < 1
-        if not open_.any():
+    demand = np.array([histogram[l] for l in lengths.tolist()], dtype=float)
+    lacking, amounts, waste = demand.copy(), {}, program.waste * limit
+    while True:
+        open_ = np.flatnonzero(lacking >= 1)
+        if not len(open_) or lengths @ lacking < program.gap * (lengths @ demand):
             break
-        price = (lengths / limit) ** program.power * np.exp(-program.rate * covered)
-        chosen = best_configuration(lengths[open_], price[open_], demand[open_], limit)
-        at = np.array([place[l] for l in chosen])
-        each = np.array(list(chosen.values()))
-        amount = max(program.step * (demand[at] / each).min(), 1.0)
-        covered[at] += each * amount / demand[at]
-        key = tuple(sorted(chosen.items()))
-        amounts[key] = amounts.get(key, 0.0) + amount
+        own = lengths[open_]
+        price = (own / limit) ** program.power * np.exp(-program.rate * (1 - lacking[open_] / demand[open_]))
+        _, last = best_values(own, price, limit)
+        placed = False
+
+        def place(chosen: dict[int, int], amount: float) -> None:
+            for at, each in chosen.items():
+                lacking[open_[at]] -= each * amount
+            key = tuple(sorted((int(own[at]), each) for at, each in chosen.items()))
+            amounts[key] = amounts.get(key, 0.0) + amount
+
+        for first in range(len(open_) - 1, -1, -1):
+            chosen, empty = configuration(first, own, last, limit)
+            most = min(lacking[open_[at]] / each for at, each in chosen.items())
+            if empty > waste or most < 1:
+                continue
+            place(chosen, min(most, max(1.0, program.step * lacking[open_[first]])))
+            placed = True
+        if not placed and waste < limit:
+            waste = max(waste, 1.0) * program.growth
+        elif not placed:
+            scarce = best_configuration(own, price, np.floor(lacking[open_]).astype(int), limit)
+            chosen = {int(np.searchsorted(own, l)): n for l, n in scarce.items()}
+            place(chosen, min(lacking[open_[at]] // each for at, each in chosen.items()))
     return [(dict(k), x) for k, x in amounts.items()]
 
 
@@ -118,11 +166,9 @@ def solve(histogram: dict[int, int], limit: int = LIMIT, program: Program = Prog
     """Configurations and how many sequences take each; together exactly the histogram."""
     left = {l: n for l, n in histogram.items() if n and l < limit}
     chosen: Counter[tuple] = Counter()
-    for _ in range(program.rounds):
-        if not left:
-            break
+    if left:
         for content, amount in sorted(fractional(left, limit, program), key=lambda c: -c[1]):
-            many = min(int(amount + 0.5), *(left.get(l, 0) // k for l, k in content.items()))
+            many = min(int(amount + 0.5), *(left[l] // k for l, k in content.items()))
             if many > 0:
                 chosen[tuple(sorted(content.items()))] += many
                 for l, k in content.items():

@@ -48,6 +48,35 @@ def test_small_cases_are_packed_as_well_as_can_be():
     assert packing.solve({}) == [] and check(packing.solve({1024: 5}), {1024: 5}, 1024) == 5
 
 
+@pytest.mark.parametrize("shape", ["uniform", "lognormal", "middling"])
+def test_the_program_places_nearly_all_of_a_million_pieces(shape):
+    rng = np.random.default_rng(1)
+    x = {
+        "uniform": lambda: rng.integers(1, 1024, 1_000_000), "lognormal": lambda: rng.lognormal(5.5, 0.9, 1_000_000).astype(int).clip(1, 1023),
+        "middling": lambda: rng.integers(300, 800, 1_000_000),
+    }[shape]()
+    lengths, counts = np.unique(x, return_counts=True)
+    histogram = dict(zip(lengths.tolist(), counts.tolist()))
+    covered = sum(l * k * n for content, n in packing.fractional(histogram, 1024, packing.Program()) for l, k in content.items())
+    assert 0.99 * x.sum() <= covered <= x.sum() + 1e-3
+    plain = check(packing.best_fit([], dict(histogram), 1024), histogram, 1024)
+    assert check(packing.solve(histogram), histogram, 1024) <= plain
+
+
+def test_table_of_fillings_against_all_subsets():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        lengths, values = np.sort(rng.choice(np.arange(1, 12), 4, replace=False)), rng.random(4)
+        best, last = packing.best_values(lengths, values, 17)
+        every = [ks for ks in np.ndindex(*(17 // lengths + 1)) if np.dot(lengths, ks) <= 17]
+        for first in range(4):
+            found, empty = packing.configuration(first, lengths, last, 17)
+            assert sum(lengths[at] * n for at, n in found.items()) + empty == 17
+            most = max(np.dot(values, ks) for ks in every if ks[first])
+            assert abs(sum(values[at] * n for at, n in found.items()) - most) < 1e-9
+        assert abs(best[17] - max(np.dot(values, ks) for ks in every)) < 1e-9
+
+
 def test_knapsack_against_all_subsets():
     rng = np.random.default_rng(5)
     for _ in range(30):
