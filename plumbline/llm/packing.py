@@ -35,7 +35,7 @@ class Program:
     Rounds end when less than ``gap`` of all tokens is lacking, which best fit places.
     """
 
-    step: float = 0.5
+    step: float = 1.0
     rate: float = 0.5
     power: float = 2.0
     waste: float = 1 / 4096
