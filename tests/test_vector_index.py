@@ -79,3 +79,14 @@ def test_empty_tables(spark, tmp_path):
     vector_index.build(some, f"{tmp_path}/s", corpus_id="id", corpus_vector="v")
     assert vector_index.search(none, f"{tmp_path}/s", **NAMES).count() == 0
     assert vector_index.cost(none, f"{tmp_path}/s", **NAMES).first().asDict() == {"queries": 0, "pairs": 0, "share": None}
+
+
+def test_recall_holds_where_rows_are_many_for_a_cell(spark, tmp_path):
+    rows = np.random.default_rng(5).standard_normal((20_000, 64))
+    corpus = vectors(spark, enumerate(rows))
+    vector_index.build(corpus, f"{tmp_path}/i", corpus_id="id", corpus_vector="v")
+    queries = corpus.where("id % 100 = 0")
+    exact = {x[::2] for x in found(similarity.vector_topk(queries, corpus, **EXACT))}
+    near = {x[::2] for x in found(vector_index.search(queries, f"{tmp_path}/i", **NAMES))}
+    assert len(exact & near) >= 0.95 * len(exact)
+    assert vector_index.cost(queries, f"{tmp_path}/i", **NAMES).first()["share"] <= 0.2
