@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as rules
@@ -165,6 +165,12 @@ def embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COSINE = "round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 9)"
 
 
+def _six(column: str) -> Column:
+    """Six digits, rounded on the double as SQL engines do; Spark's round goes by the printed number and differs on halves."""
+    value = F.col(column)
+    return F.signum(value) * F.floor(F.abs(value) * 1e6 + 0.5) / 1e6
+
+
 def _centres(embeddings: DataFrame) -> DataFrame:
     """The mean vector of every label; a label has as many rows here as a vector has numbers."""
     numbers = embeddings.select("label", F.posexplode("embedding").alias("at", "x"))
@@ -190,7 +196,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         _centres(embeddings), embeddings, query_id="label", query_vector="centre", corpus_id="vec_id",
         corpus_vector="embedding",
     )
-    return found.withColumn("similarity", F.round("similarity", 6))
+    return found.withColumn("similarity", _six("similarity"))
 
 
 @query(f"""
@@ -207,7 +213,7 @@ def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         embeddings, embeddings, query_id="vec_id", query_vector="embedding", corpus_id="vec_id",
         corpus_vector="embedding", max_inline=0,
     )
-    return found.withColumn("similarity", F.round("similarity", 6))
+    return found.withColumn("similarity", _six("similarity"))
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
@@ -255,4 +261,4 @@ def vector_index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_index.search(
         embeddings.where("vec_id % 25 = 0"), path, query_id="vec_id", query_vector="embedding", probes=vector_index.MAX_CELLS,
     )
-    return found.withColumn("similarity", F.round("similarity", 6))
+    return found.withColumn("similarity", _six("similarity"))

@@ -1,9 +1,11 @@
 """The stored index against exact search: recall, share of pairs, skipped files, odd vectors."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from plumbline.operators import similarity, vector_index
+from plumbline.workload import texts
 
 NAMES = dict(query_id="id", query_vector="v")
 EXACT = dict(**NAMES, corpus_id="id", corpus_vector="v")
@@ -90,3 +92,19 @@ def test_recall_holds_where_rows_are_many_for_a_cell(spark, tmp_path):
     near = {x[::2] for x in found(vector_index.search(queries, f"{tmp_path}/i", **NAMES))}
     assert len(exact & near) >= 0.95 * len(exact)
     assert vector_index.cost(queries, f"{tmp_path}/i", **NAMES).first()["share"] <= 0.2
+
+
+def test_a_query_leaves_a_folder_with_its_candidates_once(spark, written):
+    corpus, path = written
+    index = vector_index.Index(spark, path)
+    routed = index.route(corpus.where("id % 100 = 0").selectExpr("id", "v AS vector"), vector_index.MAX_CELLS, 1.0)
+    # Not a row for each of the 500 cells.
+    assert routed.count() == 20 * len(set(index.folders.tolist())) <= 20 * vector_index.MAX_FOLDERS
+    assert routed.groupBy("id").sum("pairs").select("sum(pairs)").distinct().collect() == [(2000,)]
+
+
+def test_similarities_are_rounded_as_the_sql_rounds(spark):
+    values = [0.5047875, 0.1234565, -0.5047875, 0.0000005, 1.0, None]
+    rows = spark.createDataFrame([(v,) for v in values], "similarity double").select(texts._six("similarity"))
+    want = duckdb.sql("SELECT round(unnest([0.5047875, 0.1234565, -0.5047875, 0.0000005, 1.0, NULL]::DOUBLE[]), 6)").fetchall()
+    assert [r[0] for r in rows.collect()] == [w[0] for w in want]
