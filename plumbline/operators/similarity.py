@@ -11,9 +11,10 @@ Two exact plans:
 
 * few queries: their vectors travel with the task, the corpus is read once and
   each task keeps a running top k;
-* many queries: corpus rows go to the cell of their nearest pivot, a query goes
-  only to the cells that can hold one of its k nearest (triangle inequality),
-  and cells larger than a block are split on both sides.
+* many queries: corpus rows go to the cell of their nearest pivot, neighbouring
+  cells are packed into groups of about a block, a query goes once to each group
+  with a cell that can hold one of its k nearest (triangle inequality), and
+  groups larger than a block are split on both sides.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ from pyspark.sql import types as T
 MAX_INLINE_QUERIES = 256
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 2048
+# Groups a corpus smaller than that many blocks is cut into, rows a task holds
+# against all pivots at a time, and scores it holds at a time.
+LEAST_GROUPS = 16
+STEP_ROWS = 512
+STEP_SCORES = 2_000_000
 _RANK_DIGITS = 9
 
 
@@ -149,6 +155,26 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def _groups(centres: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """The group of every cell: cells in a chain of near centres, cut where a group would hold more than ``most`` rows."""
+    group, at, held = np.zeros(len(sizes), dtype=np.int32), 0, 0
+    left, number = np.ones(len(sizes), dtype=bool), 0
+    for _ in range(len(sizes)):
+        if held and held + sizes[at] > most:
+            number, held = number + 1, 0
+        group[at], left[at], held = number, False, held + sizes[at]
+        if left.any():
+            at = int(np.where(left, centres @ centres[at], -np.inf).argmax())
+    return group
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches small enough to be held against all pivots."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, STEP_ROWS):
+            yield batch.slice(start, STEP_ROWS)
+
+
 def _topk_cells(
     queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, pivots: int | None, block_rows: int
 ) -> DataFrame:
@@ -168,7 +194,7 @@ def _topk_cells(
         return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (block @ centres.T)))
 
     def to_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             block, known = _unit(_matrix(batch.column("vector"), dims))
             apart = distances(block)
             cell = np.where(known, apart.argmin(axis=1), -1).astype(np.int32)
@@ -193,9 +219,11 @@ def _topk_cells(
     sizes = np.array([cells[c][0] for c in scored])
     near = np.array([cells[c][1] for c in scored])
     far = np.array([cells[c][2] for c in scored])
+    group = _groups(centres[cell_ids], sizes, min(block_rows, -(-int(sizes.sum()) // LEAST_GROUPS))) if scored else cell_ids
+    held = np.bincount(group, weights=sizes).astype(int).tolist() if scored else []
 
-    def to_cells_in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def to_groups_in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _steps(batches):
             block, known = _unit(_matrix(batch.column("vector"), dims))
             apart = distances(block)[:, cell_ids]
             at_most = apart + far
@@ -208,36 +236,43 @@ def _topk_cells(
             at_least = np.maximum(0.0, np.maximum(apart - far, near - apart))
             # The slack covers scores that only rounding makes equal.
             reach = (at_least**2 <= bound**2 + 1e-8) & known[:, None]
+            into = np.zeros((batch.num_rows, len(held)), dtype=bool)
             row, col = np.nonzero(reach)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(row)), batch.column("vector").take(pa.array(row)),
-                 pa.array(cell_ids[col])],
-                names=["id", "vector", "cell"],
-            )
-
-    routed_schema = T.StructType(queries.schema.fields + [T.StructField("cell", T.IntegerType())])
-    routed = queries.mapInArrow(to_cells_in_reach, routed_schema)
-    asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-    splits = [(c, -(-cells[c][0] // block_rows), -(-asked.get(c, 0) // block_rows)) for c in scored if c in asked]
+            into[row, group[col]] = True
+            # Some rows at a time: a row leaves once for each group.
+            for start in range(0, batch.num_rows, step := max(1, 32 * STEP_ROWS // len(held))):
+                row, col = np.nonzero(into[start:start + step])
+                own = pa.array(row + start)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(own), batch.column("vector").take(own), pa.array(col.astype(np.int32))],
+                    names=["id", "vector", "group"],
+                )
+
+    routed_schema = T.StructType(queries.schema.fields + [T.StructField("group", T.IntegerType())])
+    routed = queries.mapInArrow(to_groups_in_reach, routed_schema) if scored else None
+    asked = {r["group"]: r["count"] for r in routed.groupBy("group").count().collect()} if scored else {}
+    splits = [(g, -(-held[g] // block_rows), -(-n // block_rows)) for g, n in sorted(asked.items())]
     if not splits:
         return _ranked(_unscored(queries, lowest, schema), k)
-    corpus_parts = F.create_map(*[F.lit(v) for c, n, _ in splits for v in (c, n)])[F.col("cell")]
-    query_parts = F.create_map(*[F.lit(v) for c, _, n in splits for v in (c, n)])[F.col("cell")]
+    # One row a pivot at most.
+    of_cells = queries.sparkSession.createDataFrame(
+        [(c, g, *n) for c, g in zip(scored, group.tolist()) for h, *n in splits if g == h], "cell int, group int, cparts int, qparts int"
+    )
+    of_groups = queries.sparkSession.createDataFrame(splits, "group int, cparts int, qparts int")
 
     def part_of(n):
-        return F.pmod(F.xxhash64("id"), n).cast("int")
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
 
     def every(n):
-        return F.explode(F.sequence(F.lit(0), n - 1))
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    wanted = [c for c, _, _ in splits]
-    left = placed.where(F.col("cell").isin(wanted)).select(
-        "id", "vector", "cell", part_of(corpus_parts).alias("cpart"), every(query_parts).alias("qpart")
+    left = placed.join(F.broadcast(of_cells), "cell").select(
+        "id", "vector", "group", part_of("cparts").alias("cpart"), every("qparts").alias("qpart")
     )
-    right = routed.select(
-        "id", "vector", "cell", every(corpus_parts).alias("cpart"), part_of(query_parts).alias("qpart")
+    right = routed.join(F.broadcast(of_groups), "group").select(
+        "id", "vector", "group", every("cparts").alias("cpart"), part_of("qparts").alias("qpart")
     )
-    block_key = ["cell", "cpart", "qpart"]
+    block_key = ["group", "cpart", "qpart"]
 
     def score_block(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out_q, out_c, out_s = [], [], []
@@ -245,9 +280,10 @@ def _topk_cells(
             block, known = _unit(_matrix(list(rows["vector"]), dims))
             row_ids = rows["id"].to_numpy()
             ask_ids = asks["id"].to_numpy()
-            units, _ = _unit(_matrix(list(asks["vector"]), dims))
-            for start in range(0, len(asks), 512):
-                found = _scores(units[start:start + 512], block, known)
+            step = max(1, STEP_SCORES // len(rows))
+            for start in range(0, len(asks), step):
+                units, _ = _unit(_matrix(list(asks["vector"].iloc[start:start + step]), dims))
+                found = _scores(units, block, known)
                 for i, line in enumerate(found):
                     best = _best(line, row_ids, k)
                     out_q.extend([ask_ids[start + i]] * len(best))

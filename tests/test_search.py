@@ -153,3 +153,22 @@ def test_embedded_texts(spark):
     known = spark.createDataFrame([("d.t", "meters"), ("d.u", None)], "table_id string, business_description string")
     assert [r["embedding_text"] for r in embedding.understanding_texts(known).collect()] == ["d.t: meters", "d.u: "]
     assert embedding.query_texts(known).first()["embedding_text"] == "data table named d.t"
+
+
+def test_a_query_leaves_once_for_a_group_of_cells(spark):
+    rng = np.random.default_rng(8)
+    apart = rng.standard_normal((40, 16))
+    sizes = np.full(40, 10)
+    group = similarity._groups(apart, sizes, 100)
+    # Whatever the number of cells, a group is nearly full, and no cell is lost.
+    assert sorted(np.bincount(group).tolist()) == [10] * 4
+    corpus = [(i, rng.standard_normal(16)) for i in range(400)]
+    found = similarity.vector_topk(vectors(spark, corpus), vectors(spark, corpus), k=3, max_inline=0, pivots=40, block_rows=100, **NAMES)
+    same(got(found), brute(corpus, corpus, 3))
+
+
+def test_batches_are_held_against_pivots_in_steps():
+    batch = similarity.pa.RecordBatch.from_arrays([similarity.pa.array(range(2000))], names=["id"])
+    steps = list(similarity._steps([batch]))
+    assert max(s.num_rows for s in steps) == similarity.STEP_ROWS
+    assert [i for s in steps for i in s.column("id").to_pylist()] == list(range(2000))
