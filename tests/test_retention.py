@@ -62,3 +62,16 @@ def test_state_is_dropped_behind_the_watermark(spark):
     drain(retention.shown_again(feed, ["k"], "ts", 5), "state", folder=folder)
     state = spark.read.format("statestore").option("stateVarName", "last").load(f"{folder}/checkpoint")
     assert state.count() <= 3
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_keys_share_a_state_row(spark, monkeypatch, buckets):
+    monkeypatch.setattr(retention, "BUCKETS", buckets)
+    rng = random.Random(4)
+    times = sorted((rng.randrange(60), rng.choice("ab"), START + dt.timedelta(minutes=rng.randrange(0, 2000))) for _ in range(600))
+    times.sort(key=lambda t: t[2])
+    feed, folder = landed(spark, times, 3, f"share{buckets}", "k int, l string, ts timestamp_ntz"), shared_folder(spark, "share-run")
+    found = drain(retention.shown_again(feed, ["k", "l"], "ts", 500), f"share{buckets}", folder=folder)
+    assert sorted(((r["k"], r["l"]), r["shown_at"]) for r in found.collect()) == expected([((k, l), t) for k, l, t in times], 500)
+    # 120 keys, most of them silent still.
+    assert spark.read.format("statestore").option("stateVarName", "last").load(f"{folder}/checkpoint").count() <= buckets
