@@ -11,7 +11,7 @@ from ..session import shared_folder
 from ..streaming import feeds, retention
 from ..streaming.runner import drain, open_stream
 from . import query, table
-from .history import _ROUNDS_SQL, rounds
+from .history import _ROUNDS_SQL, questions, rounds
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,8 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders ask, line items answer; the size of a round is looked up in a table."""
     sizes = rounds(spark, sf_dir).select("run_id", "round", "question_id", "n_questions")
+    # An answer needs no size, so the rounds are counted once only.
+    known = questions(spark, sf_dir).dropna(subset=["run_id", "round"]).select("run_id", "round", "question_id")
     asked = (
         _stream(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"))
         .join(sizes, "question_id")
@@ -61,7 +63,7 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     answered = (
         _stream(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"))
-        .join(sizes.drop("n_questions"), "question_id")
+        .join(known, "question_id")
         .select(
             F.lit("answer").alias("kind"), "run_id", "round", "question_id",
             F.lit(None).cast("bigint").alias("n_questions"),

@@ -7,6 +7,7 @@ from plumbline.operators import runs
 from plumbline.session import shared_folder
 from plumbline.streaming import feeds
 from plumbline.streaming.runner import drain, open_stream
+from plumbline.workload import streams
 
 
 def landed(spark, frames, label):
@@ -109,3 +110,11 @@ def test_nothing_available_is_an_empty_table(spark):
     spark.createDataFrame([], "run_id string, question_id string, operation string").write.parquet(folder)
     stream = spark.readStream.schema("run_id string, question_id string, operation string").parquet(folder)
     assert drain(feeds.new_answers(stream), "empty").count() == 0
+
+
+def test_the_gate_counts_the_questions_of_a_round_once(spark, sf_dir, monkeypatch):
+    notes = []
+    monkeypatch.setattr(streams.feeds, "drain_gate", lambda df: notes.append(df) or df)
+    streams.stream_gate(spark, sf_dir)
+    plan = notes[0]._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("StreamingRelation") == 2
