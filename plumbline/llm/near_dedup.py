@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -176,10 +177,11 @@ def _first_posting(plan: Plan, lane: int) -> Column:
     return F.array(*[F.lit(x).cast("int") for x in first])
 
 
-def _postings(classes: DataFrame, plan: Plan) -> DataFrame:
-    """A row per class and posting."""
-    keys = F.array(*[_key(i, c) for i, c in enumerate(plan.postings)])
-    return classes.select(*classes.columns, F.posexplode(keys).alias("posting", "key"))
+def _postings(classes: DataFrame, plan: Plan, group: tuple[int, ...] | None = None) -> DataFrame:
+    """A row per class and posting, of one group of positions if it is given."""
+    own = [(i, c) for i, c in enumerate(plan.postings) if group is None or set(c) <= set(group)]
+    keys = F.array(*[F.struct(F.lit(i).alias("posting"), _key(i, c).alias("key")) for i, c in own])
+    return classes.select(*classes.columns, F.inline(keys))
 
 
 def _sides(listed: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -249,39 +251,58 @@ def candidate_links(
 
     With ``least`` pairs whose sizes and parities rule out that similarity do not leave the join either.
 
-    With ``rare`` (nodes -> rows of node, shingle, the shingles from there on and the first rare ones) the members of lists of
+    With ``rare`` (nodes -> rows of node, shingle and ``ahead``, the shingles from there on) the members of lists of
     ``crowd`` or more meet at their rare shingles instead, under the same conditions: pairs without a common one are left
-    out, so it must give a shingle in common to every pair that the verification would bear out.  A pair leaves
-    the join at its first common shingle if that is among those carried, and only if as many as it needs can follow.
+    out, so it must give a shingle in common to every pair that the verification would bear out.  A node carries the first of
+    its shingles that others hold too; a pair leaves the join at its first common shingle if both carry that, and only if
+    as many as it needs can follow.  Groups of postings, and as many parts of the shingles, are joined one after another
+    and their pairs written, so that the shuffles of one of them take disk at a time.
     """
     if "root" not in classes.columns:
         classes = classes.withColumn("root", F.col("node"))
-    listed = _postings(classes, plan)
     close, first = _compared(plan, least)
     apart = (F.col("a") < F.col("b")) & (F.col("l_root") != F.col("r_root")) & close
-    crowded = None
-    if rare is not None:
+    met = (F.col("l_key") == F.col("r_key")) & apart
+    if rare is None:
+        listed = _postings(classes, plan)
+        left, right = _sides(listed, *[c for c in listed.columns if c != "node"])
+        return left.join(right.drop("r_posting"), met & (first == F.col("l_posting"))).select("a", "b")
+    # One group of postings at a time: written pairs free the shuffles that found them.
+    found, members = [], []
+    for group in plan.groups:
+        listed = _postings(classes, plan, group)
         crowded = listed.groupBy("key").agg(
             F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")
         ).where(F.col("n") >= crowd)
         crowded = stored(crowded.select("key", "mixed"), "crowded")
-        members = listed.join(crowded.where("mixed"), "key", "left_semi").select("node").distinct()
-        listed = listed.join(crowded, "key", "left_anti")
-    left, right = _sides(listed, *[c for c in listed.columns if c != "node"])
-    met = (F.col("l_key") == F.col("r_key")) & apart & (first == F.col("l_posting"))
-    if crowded is None:
-        return left.join(right.drop("r_posting"), met).select("a", "b")
-    # The first shared posting may be that of a crowded list: any short one will do, and pairs are made distinct.
-    short = left.join(right.drop("r_posting"), (F.col("l_key") == F.col("r_key")) & apart)
+        inside = listed.select("node", "key").join(crowded.where("mixed"), "key", "left_semi")
+        members.append(stored(inside.select("node").distinct(), "members"))
+        # The first shared posting may be that of a crowded list: any short one will do, and pairs are made distinct.
+        left, right = _sides(listed.join(crowded, "key", "left_anti"), *[c for c in listed.columns if c not in ("node", "posting")])
+        found.append(stored(left.join(right, met).select("a", "b").distinct(), "short"))
+    nodes = stored(_union(members).distinct(), "members")
     kept = [c for c in classes.columns if c != "node"]
-    left, right = _sides(rare(stored(members, "members")).join(classes, "node"), "shingle", "ahead", "carried", *kept)
     meeting = F.array_intersect("l_carried", "r_carried")
     here = (F.size(meeting) == 0) | (F.get(meeting, F.lit(0)) == F.col("l_shingle"))
     if least is not None:
         needed = (F.col("l_shingle_count") + F.col("r_shingle_count")) * (least / (1 + least)) - 1e-6
         here = (F.least("l_ahead", "r_ahead") >= needed) & here
-    long = left.join(right, (F.col("l_shingle") == F.col("r_shingle")) & apart & first.isNotNull() & here)
-    return short.select("a", "b").union(long.select("a", "b")).distinct()
+    placed = stored(rare(nodes).select("node", "shingle", "ahead"), "rare")
+    # Nearly all shingles are rare enough to be one node's alone: they meet nothing and go no further.
+    shared = stored(placed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "shared")
+    placed = stored(placed.join(shared, "shingle", "left_semi"), "shared")
+    in_order = F.sort_array(F.collect_list(F.struct("ahead", "shingle")), asc=False)["shingle"]
+    placed = placed.join(placed.groupBy("node").agg(F.slice(in_order, 1, CARRIED).alias("carried")), "node")
+    for part in range(len(plan.groups)):
+        own = placed.where(F.pmod(F.xxhash64("shingle"), F.lit(len(plan.groups))) == part)
+        left, right = _sides(own.join(classes, "node"), "shingle", "ahead", "carried", *kept)
+        long = left.join(right, (F.col("l_shingle") == F.col("r_shingle")) & apart & first.isNotNull() & here)
+        found.append(stored(long.select("a", "b").distinct(), "long"))
+    return _union(found).distinct()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: int = CROWD, rare=None) -> DataFrame:
@@ -331,14 +352,17 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    return chosen.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    sets = stored(chosen.mapInArrow(run, "node long, shingles array<long>"), "shingles")
+    # Only where an id stands in several rows do the sets have to be dealt once more.
+    repeated = sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return stored(sets.dropDuplicates(["node"]), "shingles") if repeated else sets
 
 
 def verified_by_shingles(words: int, least: float):
     """A verification for ``near_duplicates``: keep links whose texts have a Jaccard similarity of ``least``."""
     def verify(docs: DataFrame, links: DataFrame) -> DataFrame:
         taking_part = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-        sets = stored(shingle_sets(docs, taking_part, words), "shingles")
+        sets = shingle_sets(docs, taking_part, words)
         both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -354,7 +378,7 @@ def rare_shingles(words: int, least: float):
     of all shingles (here by how often those of their cell occur among the nodes) their first n - ceil(least n) + 1 meet.
     """
     def rare(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-        held = stored(shingle_sets(docs, nodes, words), "held")
+        held = shingle_sets(docs, nodes, words)
         exploded = held.select(F.explode("shingles").alias("shingle"))
         found = exploded.groupBy(F.col("shingle").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("n")).toArrow()
         spread = np.zeros(CELLS, dtype=np.uint32)

@@ -266,3 +266,34 @@ def test_a_pair_leaves_the_join_at_its_first_common_shingle(spark):
         for a, b in expected:
             root[a] = root[b] = min(root[a], root[b])
     assert expected and {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root))
+
+
+def test_groups_of_postings_are_joined_one_at_a_time(spark, monkeypatch):
+    """The rows of postings that are dealt at once are those of one group, and all pairs of shared postings are found."""
+    rng, plan = random.Random(12), corpus_pipeline.WIDE
+    prints = [[rng.getrandbits(64) for _ in range(plan.lanes)] for _ in range(30)]
+    for own in prints[:30]:
+        near = list(own)
+        for _ in range(rng.choice((5, 20, 60))):
+            near[rng.randrange(plan.lanes)] ^= 1 << rng.randrange(64)
+        prints.append(near)
+    rows = [(i, *[x - (1 << 64) if x >> 63 else x for x in own]) for i, own in enumerate(prints)]
+    classes = spark.createDataFrame(rows, "node long, " + ", ".join(f"lane{i} long" for i in range(plan.lanes)))
+    postings, sizes = near_dedup._postings, []
+
+    def counted(*given):
+        made = postings(*given)
+        sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(near_dedup, "_postings", counted)
+    none = spark.createDataFrame([], "node long, shingle long, ahead long")
+    found = {(r.a, r.b) for r in near_dedup.candidate_links(classes, plan, 1000, lambda nodes: none).collect()}
+
+    def linked(p, q):
+        differing = [a ^ b for a, b in zip(p, q)]
+        same = [sum((d >> 8 * i & 255) == 0 for i in range(8)) for d in differing]
+        return max(same) >= 2 and sum(d.bit_count() for d in differing) <= plan.max_bits
+
+    assert found == {(a, b) for a in range(60) for b in range(a + 1, 60) if linked(prints[a], prints[b])} and len(found) >= 20
+    assert sizes == [60 * 28] * 4
