@@ -28,10 +28,13 @@ SEED = 42
 BLOCK = 1 << 16
 #: Lists of so many fingerprints are first linked to a few of their own.
 CROWD = 32
-#: Words of 64 parities that sketch a set of shingles, and rare shingles a node carries to tell where a pair meets first.
+#: Words of 64 parities that sketch a set of shingles.
 PARITIES = 8
-#: Cells, by a shingle's lowest bits, that tell how often shingles occur; their counts travel with the tasks (1 MB).
+#: Cells, by a shingle's lowest bits, that tell how often shingles occur; their counts travel with the tasks (1 MB),
+#: and are added up in so many blocks.
 CELLS = 1 << 18
+BLOCKS = 64
+#: Shared shingles of a node that tell where a pair meets first.
 CARRIED = 16
 
 
@@ -221,6 +224,33 @@ def _compared(plan: Plan, least: float | None = None) -> tuple[Column, Column]:
     return close if least is None else close & _can_be_alike(least), F.coalesce(*first)
 
 
+def _close(plan: Plan, least: float | None = None) -> Column:
+    """Of the two sides of a pair: whether ``_compared`` holds and has a first shared posting, in few steps.
+
+    What rules out most comes first, and bytes are not taken one by one: lists of many nodes spend their time here, and
+    the code of a condition that is too long is never compiled.
+    """
+    differing = [F.col(f"l_lane{i}").bitwiseXOR(F.col(f"r_lane{i}")) for i in range(plan.lanes)]
+    close = sum(map(F.bit_count, differing), F.lit(0)) <= plan.max_bits
+    if least is not None:
+        close = close & _can_be_alike(least)
+    folded = []  # the lowest bit of a byte tells whether any of it differs
+    for x in differing:
+        for by in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        folded.append(x)
+    unlike = [F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))) for x in folded]
+    meets = [
+        F.bit_count(folded[g[0] // 8].bitwiseAND(F.lit(_long(sum(1 << 8 * (p % 8) for p in g))))) <= len(g) - plan.posting_bytes
+        for g in plan.groups
+    ]
+    return close & (sum(unlike, F.lit(0)) <= 8 * plan.lanes - plan.min_shared) & reduce(Column.__or__, meets)
+
+
+def _long(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def crowd_links(classes: DataFrame, plan: Plan, crowd: int = CROWD, least: float | None = None) -> DataFrame:
     """Those pairs of ``candidate_links`` that join members of a long list to one of its heads.
 
@@ -281,22 +311,61 @@ def candidate_links(
         left, right = _sides(listed.join(crowded, "key", "left_anti"), *[c for c in listed.columns if c not in ("node", "posting")])
         found.append(stored(left.join(right, met).select("a", "b").distinct(), "short"))
     nodes = stored(_union(members).distinct(), "members")
+    return _union([*found, rare_links(classes, plan, shared_shingles(rare(nodes)), least)]).distinct()
+
+
+def shared_shingles(placed: DataFrame) -> DataFrame:
+    """(node, shingle, ahead, carried), a written table: the rows of ``placed`` whose shingle other nodes have too.
+
+    ``carried`` are the first of them of a node, ``CARRIED`` at most.
+    """
+    placed = stored(placed.select("node", "shingle", "ahead"), "rare")
+    # Nearly all shingles are rare enough to be one node's alone: they meet nothing and go no further.
+    shared = placed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    shared = stored(placed.join(stored(shared, "shared"), "shingle", "left_semi"), "shared")
+    in_order = F.sort_array(F.collect_list(F.struct("ahead", "shingle")), asc=False)["shingle"]
+    first = shared.groupBy("node").agg(F.slice(in_order, 1, CARRIED).alias("carried"))
+    return stored(shared.join(first, "node"), "carried")
+
+
+def rare_crowd_links(classes: DataFrame, plan: Plan, shared: DataFrame, crowd: int = CROWD, least: float | None = None) -> DataFrame:
+    """Those pairs of ``rare_links`` that join holders of a shingle of many nodes to one of its heads.
+
+    As in ``crowd_links``, with the lists of carried shingles (``shared_shingles``) in place of postings.  Of ``crowd`` or more
+    nodes that carry a shingle two are heads, the first and one by a hash of node and shingle: at most ``2 * CARRIED`` pairs for a
+    node.  How long a list is follows from how alike the texts are, not from the size of the table.
+    """
+    compared = [c for c in classes.columns if c != "node"]
+    listed = shared.where(F.array_contains("carried", F.col("shingle"))).select("shingle", "node")
+    heads = F.array_distinct(F.array(F.min("node"), F.min_by("node", F.xxhash64("node", "shingle"))))
+    long_lists = listed.groupBy("shingle").agg(F.count("*").alias("n"), heads.alias("heads")).where(F.col("n") >= crowd)
+    pairs = (
+        listed.join(long_lists.select("shingle", F.explode("heads").alias("head")), "shingle").where("node <> head")
+        .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    )
+    left, right = _sides(classes, *compared)
+    return pairs.join(left, "a").join(right, "b").where(_close(plan, least)).select("a", "b")
+
+
+def rare_links(classes: DataFrame, plan: Plan, shared: DataFrame, least: float | None = None) -> DataFrame:
+    """The pairs of ``candidate_links`` that have a shingle of ``shared`` (``shared_shingles``) in common, each once.
+
+    A pair leaves the join at its first common shingle if both nodes carry that, and only if as many as it needs can
+    follow.  Parts of the shingles, as many as ``plan`` has groups, are joined one after another and their pairs written.
+    """
     kept = [c for c in classes.columns if c != "node"]
-    meeting = F.array_intersect("l_carried", "r_carried")
-    here = (F.size(meeting) == 0) | (F.get(meeting, F.lit(0)) == F.col("l_shingle"))
+    met = (F.col("l_shingle") == F.col("r_shingle")) & (F.col("a") < F.col("b")) & (F.col("l_root") != F.col("r_root"))
     if least is not None:
         needed = (F.col("l_shingle_count") + F.col("r_shingle_count")) * (least / (1 + least)) - 1e-6
-        here = (F.least("l_ahead", "r_ahead") >= needed) & here
-    placed = stored(rare(nodes).select("node", "shingle", "ahead"), "rare")
-    # Nearly all shingles are rare enough to be one node's alone: they meet nothing and go no further.
-    shared = stored(placed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "shared")
-    placed = stored(placed.join(shared, "shingle", "left_semi"), "shared")
-    in_order = F.sort_array(F.collect_list(F.struct("ahead", "shingle")), asc=False)["shingle"]
-    placed = placed.join(placed.groupBy("node").agg(F.slice(in_order, 1, CARRIED).alias("carried")), "node")
+        met = met & (F.least("l_ahead", "r_ahead") >= needed)
+    # The arrays stand here once: of what stands twice Spark takes the value beforehand, for every pair.
+    meeting = F.get(F.array_intersect("l_carried", "r_carried"), F.lit(0))
+    here = F.coalesce(meeting, "l_shingle") == F.col("l_shingle")
+    found = []
     for part in range(len(plan.groups)):
-        own = placed.where(F.pmod(F.xxhash64("shingle"), F.lit(len(plan.groups))) == part)
+        own = shared.where(F.pmod(F.xxhash64("shingle"), F.lit(len(plan.groups))) == part)
         left, right = _sides(own.join(classes, "node"), "shingle", "ahead", "carried", *kept)
-        long = left.join(right, (F.col("l_shingle") == F.col("r_shingle")) & apart & first.isNotNull() & here)
+        long = left.join(right, met & _close(plan, least) & here)
         found.append(stored(long.select("a", "b").distinct(), "long"))
     return _union(found).distinct()
 
@@ -314,8 +383,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: in
     in it are nodes of their own.  Large groups of close fingerprints do not either: lists of ``crowd`` and more
     are linked to their heads first, and then only pairs that these links leave apart are looked
     for, which gives the components of all links.  ``verify(docs, links)`` may drop links that a
-    closer look does not bear out; ``rare(docs, nodes)`` then spares it most pairs of long lists (see
-    ``candidate_links``).  A null text counts as empty, texts without words share
+    closer look does not bear out.  ``rare(docs, nodes)``, of shingles one of which any two texts that it would bear out
+    share, then takes the place of the postings for all nodes: how many rows that makes follows from the texts, while
+    postings fill up with the table, and the fingerprints are compared where shingles meet (``rare_crowd_links``,
+    ``rare_links``).  A null text counts as empty, texts without words share
     fingerprint zero and are linked like any other; repeated rows share their component; rows with
     a null doc_id are returned, with the component of their class if that has any doc_id.
     Other columns of ``docs`` are ignored; an empty table gives an empty result.
@@ -332,11 +403,15 @@ def near_duplicates(docs: DataFrame, plan: Plan = NARROW, verify=None, crowd: in
     same = [F.first(c).alias(c) for c in facts]  # alike in all rows of a class
     classes = stored(prints.groupBy(*alike).agg(F.min("doc_id").alias("node"), *same), "classes")
     named = classes.where("node is not null").select("node", *lanes, *facts)
-    crowds = components(borne_out(crowd_links(named, plan, crowd, least)))
+    if rare:
+        shared = shared_shingles(rare(docs, named.select("node")))
+        crowds = components(borne_out(rare_crowd_links(named, plan, shared, crowd, least)))
+    else:
+        crowds = components(borne_out(crowd_links(named, plan, crowd, least)))
     grouped = stored(
         named.join(crowds, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *lanes, *facts), "crowds"
     )
-    links = borne_out(candidate_links(grouped, plan, crowd, rare and (lambda nodes: rare(docs, nodes)), least))
+    links = borne_out(rare_links(grouped, plan, shared, least) if rare else candidate_links(grouped, plan, crowd, least=least))
     roots = components(links.union(crowds.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = classes.join(roots, "node", "left").select(
         *alike, F.coalesce("root", "node").alias("component_id")
@@ -353,9 +428,12 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
     sets = stored(chosen.mapInArrow(run, "node long, shingles array<long>"), "shingles")
-    # Only where an id stands in several rows do the sets have to be dealt once more.
-    repeated = sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return stored(sets.dropDuplicates(["node"]), "shingles") if repeated else sets
+    return stored(sets.dropDuplicates(["node"]), "shingles") if _repeats(sets) else sets
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Whether a node stands in several rows: only then they have to be dealt once more."""
+    return rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
 
 
 def verified_by_shingles(words: int, least: float):
@@ -371,35 +449,66 @@ def verified_by_shingles(words: int, least: float):
     return verify
 
 
+def cell_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """How many distinct shingles of the rows of ``docs`` fall into each cell, by their lowest bits.
+
+    A task counts what it reads and sends on its cells in ``BLOCKS`` lists, however many shingles it has met.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, dtype=np.int64)
+        for part in slices(batches):
+            once = np.concatenate([np.unique(hashes(t, words)) for t in utf8(part.column(0))])
+            counts += np.bincount((once & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(BLOCKS), pa.int32()), pa.array(list(counts.reshape(BLOCKS, -1)), pa.list_(pa.int64()))], names=["block", "counts"]
+        )
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS // BLOCKS, dtype=np.int64)
+        for batch in batches:
+            total += batch.column("counts").flatten().to_numpy().reshape(batch.num_rows, -1).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.list_(pa.int64()))], names=["block", "counts"])
+
+    schema = "block int, counts array<long>"
+    each = docs.select("text").mapInArrow(run, schema)
+    found = each.groupBy("block").applyInArrow(add, schema).toArrow().combine_chunks()
+    spread = np.zeros((BLOCKS, CELLS // BLOCKS), dtype=np.uint32)
+    if found.num_rows:
+        counts = found.column("counts").combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1)
+        spread[found.column("block").to_numpy()] = np.minimum(counts, 2**32 - 1)
+    return spread.reshape(-1)
+
+
 def rare_shingles(words: int, least: float):
     """The rarest shingles of texts, one of which any two texts with a Jaccard similarity of ``least`` share.
 
     Of n distinct shingles two such texts have at least ``least`` n in common, so in one order
-    of all shingles (here by how often those of their cell occur among the nodes) their first n - ceil(least n) + 1 meet.
+    of all shingles (here by how often those of their cell occur in the rows) their first n - ceil(least n) + 1 meet.
     """
     def rare(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-        held = shingle_sets(docs, nodes, words)
-        exploded = held.select(F.explode("shingles").alias("shingle"))
-        found = exploded.groupBy(F.col("shingle").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("n")).toArrow()
-        spread = np.zeros(CELLS, dtype=np.uint32)
-        spread[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+        spread = cell_counts(docs, words)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
                 firsts, carried, sizes = [], [], []
-                for row in part.column("shingles"):
-                    own = np.array(row.values, dtype=np.int64)
+                for text in utf8(part.column(1)):
+                    own = np.unique(hashes(text, words)).view(np.int64)
                     n, often = len(own), spread[own & (CELLS - 1)]
                     order = np.lexsort((own, often))[: n - int(np.ceil(n * least - 1e-6)) + 1]
                     firsts.append(own[order])
                     carried.append(own[order[often[order] > 1]][:CARRIED])  # the others meet nothing
                     sizes.append(n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(carried, pa.list_(pa.int64()))],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(carried, pa.list_(pa.int64()))],
                     names=["node", "n", "first", "carried"],
                 )
 
-        chosen = held.mapInArrow(run, "node long, n long, first array<long>, carried array<long>")
+        # Nodes are nearly all rows: what is left of the texts is shuffled to be held against them, not the texts.
+        named = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
+        chosen = named.mapInArrow(run, "node long, n long, first array<long>, carried array<long>")
+        chosen = chosen.join(nodes, "node", "left_semi")
+        if _repeats(named):
+            chosen = chosen.dropDuplicates(["node"])
         return chosen.select("node", "n", "carried", F.posexplode("first").alias("place", "shingle")).select(
             "node", "shingle", (F.col("n") - F.col("place")).alias("ahead"), "carried"
         )

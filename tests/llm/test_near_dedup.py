@@ -297,3 +297,54 @@ def test_groups_of_postings_are_joined_one_at_a_time(spark, monkeypatch):
 
     assert found == {(a, b) for a in range(60) for b in range(a + 1, 60) if linked(prints[a], prints[b])} and len(found) >= 20
     assert sizes == [60 * 28] * 4
+
+
+def test_rows_of_rare_shingles_grow_with_the_table(spark, monkeypatch):
+    """Five times the texts: all of them meet at their rare shingles at both sizes, however full the postings are."""
+    sizes, shared_shingles = [], near_dedup.shared_shingles
+    verify, rare = near_dedup.verified_by_shingles(5, 0.8), near_dedup.rare_shingles(5, 0.8)
+
+    def counted(placed):
+        sizes.append(placed.count())
+        return shared_shingles(placed)
+
+    def no_postings(*given):
+        raise AssertionError("postings were made")
+
+    monkeypatch.setattr(near_dedup, "shared_shingles", counted)
+    monkeypatch.setattr(near_dedup, "_postings", no_postings)
+    for n in (60, 300):
+        texts = [" ".join(f"d{i // 2}x{j}" for j in range(80 - i % 2)) for i in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+        got = near_dedup.near_duplicates(docs, corpus_pipeline.WIDE, verify, 32, rare)
+        assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i in range(n)}
+    assert sizes[1] == 5 * sizes[0]
+
+
+def test_the_short_condition_is_that_of_the_postings(spark):
+    """Bytes compared without taking them one by one, over plans with groups of a lane and of half a lane."""
+    rng = random.Random(21)
+    halves = near_dedup.Plan(words=3, lanes=2, groups=((0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11), (12, 13, 14, 15)), posting_bytes=2, max_bits=40)
+    for plan in (corpus_pipeline.WIDE, halves, near_dedup.NARROW):
+        rows = []
+        for i in range(400):
+            left = [rng.getrandbits(64) for _ in range(plan.lanes)]
+            right = list(left)
+            for _ in range(rng.randrange(2 * plan.max_bits)):
+                right[rng.randrange(plan.lanes)] ^= 1 << rng.randrange(64)
+            rows.append((i, *[near_dedup._long(x) for x in (*left, *right)]))
+        names = [f"{side}_lane{k}" for side in "lr" for k in range(plan.lanes)]
+        close, first = near_dedup._compared(plan)
+        made = spark.createDataFrame(rows, ", ".join(["i long", *[f"{c} long" for c in names]]))
+        got = made.select((close & first.isNotNull()).alias("old"), near_dedup._close(plan).alias("new")).collect()
+        assert all(r.old == r.new for r in got) and 20 < sum(r.old for r in got) < 400
+
+
+def test_cells_are_counted_over_all_tasks(spark):
+    texts = [" ".join(f"w{(i * j) % 50}" for j in range(60)) for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], SCHEMA).repartition(5)
+    expected = np.zeros(near_dedup.CELLS, dtype=np.int64)
+    for t in texts:
+        np.add.at(expected, (np.unique(near_dedup.hashes(t.encode(), 5)) & np.uint64(near_dedup.CELLS - 1)).astype(np.int64), 1)
+    assert (near_dedup.cell_counts(docs, 5) == expected).all()
+    assert not near_dedup.cell_counts(docs.limit(0), 5).any()
