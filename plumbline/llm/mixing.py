@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rank_within, slices, stored, utf8
+from .common import finished, rank_within, slices, stored, utf8
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -150,6 +150,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; ids must be unique."""
-    copies = mixed(docs, weights, most).where("copies > 0").select("doc_id", F.col("copies").alias("_copies"))
+    copies = finished(
+        lambda: mixed(docs, weights, most).where("copies > 0").select("doc_id", F.col("copies").alias("_copies")), "copies"
+    )
     repeated = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return repeated.select(*docs.columns)

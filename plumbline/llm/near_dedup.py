@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, utf8
+from .common import finished, slices, stored, utf8
 from .components import components
 
 SEED = 42
@@ -319,13 +319,16 @@ def shared_shingles(placed: DataFrame) -> DataFrame:
 
     ``carried`` are the first of them of a node, ``CARRIED`` at most.
     """
-    placed = stored(placed.select("node", "shingle", "ahead"), "rare")
-    # Nearly all shingles are rare enough to be one node's alone: they meet nothing and go no further.
-    shared = placed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    shared = stored(placed.join(stored(shared, "shared"), "shingle", "left_semi"), "shared")
-    in_order = F.sort_array(F.collect_list(F.struct("ahead", "shingle")), asc=False)["shingle"]
-    first = shared.groupBy("node").agg(F.slice(in_order, 1, CARRIED).alias("carried"))
-    return stored(shared.join(first, "node"), "carried")
+    def carried() -> DataFrame:
+        all_ = stored(placed.select("node", "shingle", "ahead"), "rare")
+        # Nearly all shingles are rare enough to be one node's alone: they meet nothing and go no further.
+        shared = all_.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+        shared = stored(all_.join(stored(shared, "shared"), "shingle", "left_semi"), "shared")
+        in_order = F.sort_array(F.collect_list(F.struct("ahead", "shingle")), asc=False)["shingle"]
+        first = shared.groupBy("node").agg(F.slice(in_order, 1, CARRIED).alias("carried"))
+        return shared.join(first, "node")
+
+    return finished(carried, "carried")
 
 
 def rare_crowd_links(classes: DataFrame, plan: Plan, shared: DataFrame, crowd: int = CROWD, least: float | None = None) -> DataFrame:
